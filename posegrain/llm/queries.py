@@ -23,17 +23,18 @@ def _keypoint_values(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
 
 
 def p1_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of both measures per dataset and model, rows as delivered; exact (max_error 0)."""
-    return percentiles.percentiles([_keypoint_values(spark, sf_dir)], ["dataset_name", "model_arch", "column_name"], PERCENTILES)
-
-
-def p1_by_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per load."""
-    return percentiles.percentiles([_keypoint_values(spark, sf_dir, "load_id")], ["dataset_name", "model_arch", "load_id", "column_name"], PERCENTILES)
+    """Percentiles of both measures per dataset and model, over everything, per load and per day of evaluation; rows as
+    delivered; exact (max_error 0)."""
+    k = table(spark, sf_dir, "keypoint")
+    day = F.expr("cast(date_add(date'1970-01-01', cast(floor(unix_micros(evaluated_at) / 86400000000) as int)) as string)")
+    levels = F.array(F.struct(F.lit("all").alias("level"), F.lit("").alias("period")), F.struct(F.lit("load").alias("level"), F.col("load_id").cast("string").alias("period")), F.struct(F.lit("day").alias("level"), day.alias("period")))
+    k = k.select("dataset_name", "model_arch", *_MEASURES, F.inline(levels))
+    groups = {"dataset_name": _label("dataset_name"), "model_arch": _label("model_arch"), "level": F.col("level"), "period": F.col("period")}
+    return percentiles.percentiles([percentiles.long_values(k, groups, _MEASURES)], [*groups, "column_name"], PERCENTILES)
 
 
 def p1_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The percentiles of p1_percentiles, with even and odd loads counted apart and their counts added."""
+    """The percentiles over everything, with even and odd loads counted apart and their counts added."""
     v = _keypoint_values(spark, sf_dir, "load_id")
     parts = [v.where("load_id is null or pmod(load_id, 2) = 0").drop("load_id"), v.where("pmod(load_id, 2) = 1").drop("load_id")]
     return percentiles.percentiles(parts, ["dataset_name", "model_arch", "column_name"], PERCENTILES)
@@ -107,22 +108,24 @@ def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.with_skeleton(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "skeleton")
 
 
-QUERIES = {f.__name__: f for f in (p1_percentiles, p1_by_load, p1_combined, p3_found, p3_top, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_classes, p9_texts)}
+QUERIES = {f.__name__: f for f in (p1_percentiles, p1_combined, p3_found, p3_top, p7_found, p7_near, p8_mix, p8_shares, p9_found, p9_classes, p9_texts)}
+
 
+_P1_ROWS = """select lower(trim(dataset_name, ' \t\r\n')) as dataset_name, lower(trim(model_arch, ' \t\r\n')) as model_arch, load_id, (date '1970-01-01' + (epoch_us(evaluated_at) // 86400000000)::int)::varchar as day, c as column_name, x + 0.0 as x
+ from (select dataset_name, model_arch, load_id, evaluated_at, 'oks_ours' as c, oks_ours as x from keypoint union all select dataset_name, model_arch, load_id, evaluated_at, 'cov_det', cov_det from keypoint) where x is not null and not isnan(x)"""
 
-def _p1(load: str) -> str:
-    by = f"dataset_name, model_arch, {load}column_name"
+
+def _p1(by: str, source: str) -> str:
     return f"""
-with v as (
- select lower(trim(dataset_name, ' \t\r\n')) as dataset_name, lower(trim(model_arch, ' \t\r\n')) as model_arch, load_id, c as column_name, x + 0.0 as x
- from (select dataset_name, model_arch, load_id, 'oks_ours' as c, oks_ours as x from keypoint union all select dataset_name, model_arch, load_id, 'cov_det', cov_det from keypoint)
- where x is not null and not isnan(x)),
+with v as ({source}),
 r as (select {by}, x, row_number() over (partition by {by} order by x) as k, count(*) over (partition by {by}) as n_rows from v),
 p as (select unnest([0.05::double, 0.25::double, 0.5::double, 0.75::double, 0.95::double]) as percentile)
 select {by}, percentile, n_rows, x as value, 0.0::double as max_error from r join p on k = greatest(1, ceil(percentile * n_rows)::bigint)
 """
 
 
+_P1_LEVELS = " union all ".join(f"select *, '{level}' as level, {period} as period from b" for level, period in (("all", "''"), ("load", "load_id::varchar"), ("day", "day")))
+
 _P3 = """
 with d as (select * from packet_metric qualify row_number() over (partition by packet_id order by loaded_at desc nulls last) = 1),
 g as (select lower(trim(dataset, ' \t\r\n')) as dataset, lower(trim(model_name, ' \t\r\n')) as model_name, delta_oks, image_id, packet_id, sample_type from d
@@ -131,9 +134,8 @@ select {} from (select *, row_number() over (partition by dataset, model_name or
 """
 
 SQL = {
-    "p1_percentiles": _p1(""),
-    "p1_by_load": _p1("load_id, "),
-    "p1_combined": _p1(""),
+    "p1_percentiles": _p1("dataset_name, model_arch, level, period, column_name", f"with b as ({_P1_ROWS}) {_P1_LEVELS}"),
+    "p1_combined": _p1("dataset_name, model_arch, column_name", _P1_ROWS),
     "p3_found": _P3.format("packet_id"),
     "p3_top": _P3.format("dataset, model_name, delta_oks, image_id, packet_id, sample_type, rank"),
 }
