@@ -96,7 +96,8 @@ def percentiles(frames: list[DataFrame], groups: list[str], wanted: list[float],
     rows; a null label is a group; groups without values and empty frames give no rows.
     """
     state = materialize(locate(merge_counts([bin_counts(f, groups) for f in frames], groups), groups, wanted), "intervals")
-    undecided = F.col("hi") - F.col("lo") > F.lit(float(max_error))
+    # the first condition closes intervals of one infinite value, whose width is NaN
+    undecided = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") > F.lit(float(max_error)))
     done = [state.where(~undecided)]
     open_ = state.where(undecided)
     for _ in range(max_passes):
