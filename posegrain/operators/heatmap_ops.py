@@ -28,9 +28,9 @@ def normalize_tensor(df: DataFrame, keys: list[str], out: str = "norm") -> DataF
 
 def sharpen(df: DataFrame, t: float, out: str = "sharp") -> DataFrame:
     """Temperature scaling of a map taken as a distribution."""
-    d = _with(df, _r=H.raised("hm", t))
-    d = _with(d, _s=H.total("_r"))
-    return _with(d, **{out: H.scaled("_r", "_s")}).drop("_r", "_s")
+    d = _with(df, _raised=H.raised("hm", t))
+    d = _with(d, _sum=H.total("_raised"))
+    return _with(d, **{out: H.scaled("_raised", "_sum")}).drop("_raised", "_sum")
 
 
 def inverse_flip(df: DataFrame, flip_dim: DataFrame, shift: bool = False, out: str = "hm") -> DataFrame:

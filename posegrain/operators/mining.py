@@ -93,7 +93,7 @@ def packet_features(packets: DataFrame, candidates: DataFrame, second: float = 0
     c = candidates.where("weight is not null and mx is not null and my is not null").groupBy("packet_id", "potential_idx", "kp_idx").agg(
         F.array_sort(F.collect_list(F.struct("cand_idx", "mx", "my", "weight"))).alias("c")
     )  # candidates of one joint
-    c = c.where("size(c) >= 2").withColumn("w2", F.expr("get(sort_array(transform(c, x -> x.weight), false), 1)")).withColumn("apart", F.expr("sqrt(pow(c[0].mx - c[1].mx, 2) + pow(c[0].my - c[1].my, 2))"))
+    c = c.where("size(c) >= 2").withColumn("w2", F.expr("get(sort_array(transform(c, x -> x.weight), false), 1)")).withColumn("apart", F.expr("sqrt(pow(get(c, 0).mx - get(c, 1).mx, 2) + pow(get(c, 0).my - get(c, 1).my, 2))"))
     b = c.where(f"w2 >= {second}D and apart >= {apart}D").groupBy("packet_id").agg(F.count(F.lit(1)).alias("n_bimodal"), F.min("kp_idx").alias("first_bimodal"))
     return packets.join(b, "packet_id", "left").withColumn("n_bimodal", F.coalesce("n_bimodal", F.lit(0)))
 

@@ -25,6 +25,11 @@ def generator(seed: int, *key) -> np.random.Generator:
     return np.random.default_rng(xxhash.xxh3_64_intdigest(repr((seed, *key)).encode()))
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows over some tasks a core: fitting costs far more than moving a map, and input files are few."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 # ---- sampling
 
 
@@ -100,7 +105,7 @@ def sample_table(df: DataFrame, keys: list[str], n: int = 1000, method: str = "i
                 yield pd.DataFrame({k: r[k] for k in keys} | {"sample_idx": np.arange(n, dtype="int32"), "x": xy[:, 0], "y": xy[:, 1]})
 
     kinds = dict(df.dtypes)
-    return df.select(*keys, "hm", "hm_h", "hm_w").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sample_idx int, x double, y double")
+    return spread(df.select(*keys, "hm", "hm_h", "hm_w"), keys).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", sample_idx int, x double, y double")
 
 
 # ---- mixtures
@@ -241,7 +246,40 @@ def fit_heatmaps(df: DataFrame, keys: list[str], n: int = 1000, method: str = "i
                 yield pd.DataFrame(out)
 
     kinds = dict(df.dtypes)
-    return df.select(*keys, "hm", "hm_h", "hm_w").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", repeat int, {FIT}")
+    return spread(df.select(*keys, "hm", "hm_h", "hm_w"), keys).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + f", repeat int, {FIT}")
+
+
+def grid_mode(df: DataFrame, keys: list[str], width: float, height: float, cells: int = 16) -> DataFrame:
+    """(keys..., cell, density): the cell of a cells x cells grid over a width x height map where a mixture (``comps``) is densest.
+
+    Cell i lies at (i % cells, i // cells) times the step; the lowest cell among equals; no components, no row.  Mixtures of
+    a batch are laid out by their number of components and evaluated together.
+    """
+    i = np.arange(cells * cells)
+    grid = np.column_stack((i % cells * (width / cells), i // cells * (height / cells)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = b["comps"].map(len).to_numpy()
+            cell, best = np.zeros(len(b), "int32"), np.zeros(len(b))
+            for k in np.unique(rows[rows > 0]):
+                at = np.flatnonzero(rows == k)
+                c = np.array([[(x["mx"], x["my"], x["cxx"], x["cxy"], x["cyy"], x["weight"]) for x in b["comps"].iloc[j]] for j in at])
+                total = np.zeros((len(at), len(grid)))
+                for j in range(k):
+                    mx, my, cxx, cxy, cyy, w = (c[:, j, f, None] for f in range(6))
+                    det = cxx * cyy - cxy * cxy
+                    safe = np.where(det > 0, det, 1)
+                    dx, dy = grid[:, 0] - mx, grid[:, 1] - my
+                    m = (cyy * dx * dx - 2 * cxy * dx * dy + cxx * dy * dy) / safe
+                    total += np.where(det > 0, w * np.exp(-0.5 * np.minimum(m, 700)) / (2 * np.pi * np.sqrt(safe)), 0)
+                total = np.round(total, 12)
+                cell[at] = total.argmax(1)
+                best[at] = total.max(1)
+            yield b[keys].assign(cell=cell, density=best)[rows > 0]
+
+    kinds = dict(df.dtypes)
+    return df.select(*keys, "comps").mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", cell int, density double")
 
 
 def combine_repeats(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -336,7 +336,7 @@ def ref_run_report(spark, sf_dir):
     return rounded(cohorts.run_report(packets(spark, sf_dir), ["model_name"], _RUN))
 
 
-@query(f"""with {PK} select dataset, model_name, count(*) as n_images, {rnd('avg(oks_ours)', 12)} as oks_ours_mean, {rnd('avg(oks_base)', 12)} as oks_base_mean, {rnd('avg(oks_ours) - avg(oks_base)', 12)} as delta_oks_mean, {rnd('(avg(oks_ours) - avg(oks_base)) / nullif(avg(oks_base), 0) * 100', 12)} as proportional_gain,
+@query(f"""with {PK} select dataset, model_name, count(*) as n_images, {rnd('avg(oks_ours)', 12)} as oks_ours_mean, {rnd('avg(oks_base)', 12)} as oks_base_mean, {rnd('avg(oks_ours) - avg(oks_base)', 12)} as delta_oks_mean, {rnd('(avg(oks_ours) - avg(oks_base)) / nullif(avg(oks_base), 0) * 100', 9)} as proportional_gain,
  rank() over (order by round(avg(oks_ours), 9) desc nulls last) as place from pk group by dataset, model_name""")
 def ref_leaderboard(spark, sf_dir):
     """Experiments (dataset and model) by mean similarity."""
@@ -344,6 +344,7 @@ def ref_leaderboard(spark, sf_dir):
 
     g = packets(spark, sf_dir).groupBy("dataset", "model_name").agg(F.count(F.lit(1)).alias("n_images"), F.avg("oks_ours").alias("oks_ours_mean"), F.avg("oks_base").alias("oks_base_mean"))
     g = g.withColumn("delta_oks_mean", F.expr("oks_ours_mean - oks_base_mean")).withColumn("proportional_gain", F.expr("delta_oks_mean / nullif(oks_base_mean, 0D) * 100"))
+    g = g.withColumn("proportional_gain", F.round("proportional_gain", 9))
     return rounded(g.withColumn("place", F.rank().over(Window.orderBy(F.round("oks_ours_mean", 9).desc_nulls_last())).cast("bigint")), 12)
 
 
