@@ -15,6 +15,15 @@ def _with(df: DataFrame, **exprs: str) -> DataFrame:
     return df.select("*", *(F.expr(e).alias(n) for n, e in exprs.items()))
 
 
+def pixels(df: DataFrame, keys: list, col: str = "hm") -> DataFrame:
+    """(keys..., pos, v): one row a pixel.
+
+    The outer form is meant: for the inner one the optimizer infers a filter on the array's size and pushes it down through
+    the projections that build the array, where it evaluates nested lambdas once an element.
+    """
+    return df.select(*keys, F.posexplode_outer(col).alias("pos", "v")).where("pos is not null")
+
+
 def normalize(df: DataFrame, out: str = "norm") -> DataFrame:
     """Per-map min-max scaling; a constant map is unchanged, an empty or null map gives null."""
     return _with(_with(df, _lo="array_min(hm)", _hi="array_max(hm)"), **{out: H.minmax("hm", "_lo", "_hi")}).drop("_lo", "_hi")
@@ -50,7 +59,7 @@ def elementwise_mean(df: DataFrame, keys: list[str], weight: str | None = None)
     partial aggregation, so the number of maps a key does not matter.
     """
     w = F.lit(1.0) if weight is None else F.col(weight)
-    d = df.select(*keys, w.alias("w"), F.posexplode("hm").alias("pos", "v"))
+    d = pixels(df, [*keys, w.alias("w")])
     a = d.groupBy(*keys, "pos").agg(F.sum(F.col("w") * F.col("v")).alias("wv"), F.sum("w").alias("w"), F.avg("v").alias("m"))
     a = a.select(*keys, F.struct("pos", F.when(F.col("w") > 1e-10, F.col("wv") / F.col("w")).otherwise(F.col("m")).alias("v")).alias("p"))
     return a.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["v"]).alias("hm"))  # one map a key

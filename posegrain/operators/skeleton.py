@@ -40,7 +40,8 @@ def decode(candidates: DataFrame, edges: list[tuple[int, int, float, float, int]
         g = g.withColumn(f"p{n}", F.expr(lone if n not in parent_of else f"if(size(c{parent_of[n]}) = 0, {lone}, -get(m{n}, p{parent_of[n]}).j)"))
     is_root = lambda n: "true" if n not in parent_of else f"size(c{parent_of[n]}) = 0"
     rows = ", ".join(f"if(size(c{n}) = 0, null, named_struct('kp_idx', {n}, 'cand_idx', get(c{n}, p{n}).cand_idx, 'score', if({is_root(n)}, o{n}.s, null)))" for n in nodes)
-    return g.select(*image, F.expr(f"inline(filter(array({rows}), x -> x is not null))"))
+    # outer, for the reason given at heatmap_ops.pixels
+    return g.select(*image, F.expr(f"inline_outer(filter(array({rows}), x -> x is not null))")).where("kp_idx is not null")
 
 
 def decode_pose(candidates: DataFrame, edges: list[tuple[int, int, float, float, int]], image: list[str], multiplier: float = 1.0) -> DataFrame:

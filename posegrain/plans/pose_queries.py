@@ -42,7 +42,7 @@ def heatmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pixels(df: DataFrame, keys: list[str], col: str = "hm") -> DataFrame:
-    return rounded(df.select(*keys, F.posexplode(col).alias("pos", "v")))
+    return rounded(heatmap_ops.pixels(df, keys, col))
 
 
 @query(f"with {HM}, {_PIX} select vec_id, pos, {rnd('case when max(v) over w > min(v) over w then (v - min(v) over w) / (max(v) over w - min(v) over w) else v end')} as v from px window w as (partition by vec_id)")
@@ -170,7 +170,7 @@ def ref_moments(spark, sf_dir):
 @query(f"with {HM}, {_PIX} select vec_id, (pos // 16)::int as r, ((pos % 8) // 2)::int as c, {rnd('sum(v)')} as mass from px group by all")
 def ref_cell_masses(spark, sf_dir):
     """Masses of a 4 x 4 grid, as stratified sampling allots its points."""
-    d = heatmaps(spark, sf_dir).select("vec_id", F.posexplode("hm").alias("pos", "v"))
+    d = heatmap_ops.pixels(heatmaps(spark, sf_dir), ["vec_id"])
     return rounded(d.groupBy("vec_id", F.expr("cast(pos div 16 as int)").alias("r"), F.expr("cast((pos % 8) div 2 as int)").alias("c")).agg(F.sum("v").alias("mass")))
 
 
