@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from posegrain.functions import heatmaps as H
 from posegrain.functions import mixtures as G
 from posegrain.functions import scalars as S
+from posegrain.operators import augment as augment_ops
 from posegrain.operators import heatmap_ops, mining, mixture_fit, nested, poses, skeleton
 from posegrain.plans.calibration_queries import KP, PK, rnd, rounded
 from posegrain.schema import FLIP_PAIRS, KAPPA, KEYPOINTS, SKELETON, edge_dim, edges, joint_dim, keypoints, packets, pair_dim
@@ -550,3 +551,35 @@ def ref_image_pipeline(spark, sf_dir):
     s = poses.image_mixture_summary(f.where("model_type is not null"), ["image_id"])
     out = m.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_joints"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg(F.expr(G.entropy_bound("components"))).alias("entropy"), F.avg(F.expr(G.weighted_volume("filter(components, c -> c.weight > 0)"))).alias("covariance_volume"))
     return out.join(s, "image_id", "left")
+
+
+# ---- images
+
+
+def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps as grey images of 8 x 8."""
+    return heatmaps(spark, sf_dir).select("vec_id", F.expr("transform(hm, x -> least(255D, x * 800D))").alias("img"), F.lit(8).alias("img_w"), F.lit(8).alias("img_h"))
+
+
+@query()
+def ref_photometric(spark, sf_dir):
+    """All photometric augmentations of every image; mean and spread of each result."""
+    d = _images(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, PHOTOMETRIC))).alias("aug"))
+    d = augment_ops.augment(d, ["vec_id"])
+    return rounded(d.select("vec_id", "aug", F.expr("aggregate(img, 0D, (a, x) -> a + x) / size(img)").alias("mean"), (F.array_max("img") - F.array_min("img")).alias("spread")))
+
+
+@query()
+def ref_degrade(spark, sf_dir):
+    """Every image degraded in contrast, noise and sharpness."""
+    d = augment_ops.degrade(_images(spark, sf_dir), ["vec_id"], contrast=0.7, noise=5.0, gaussian=4, box=3)
+    return rounded(d.select("vec_id", F.expr("aggregate(img, 0D, (a, x) -> a + x) / size(img)").alias("mean")))
+
+
+@query()
+def ref_mock_source(spark, sf_dir):
+    """Noisy stand-in maps of the parts as images, with their entropy."""
+    from posegrain.sources.models import check_contract, mock_heatmaps
+
+    m = check_contract(mock_heatmaps(table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("image_id")), "bimodal", 12, 16, noise=0.05))
+    return rounded(m.select("image_id", "kp_idx", F.expr(H.entropy("hm")).alias("entropy")))
