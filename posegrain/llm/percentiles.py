@@ -75,7 +75,7 @@ def _narrow(frames: list[DataFrame], open_: DataFrame, groups: list[str], fanout
     # every open interval lies in one bin of the fixed scale: with the bin in the join key a hot group is spread over its
     # bins, and the salt splits what one hot value leaves in a bin
     spans = open_.select(*groups, F.col("lo").alias("a"), F.col("hi").alias("b"), fixed_bin(F.col("lo")).alias("_at")).distinct()
-    spans = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint").alias("_salt"))
+    spans = spans.select("*", F.expr(f"explode(sequence(0L, {SALTS - 1}L))").alias("_salt"))
     counted = []
     for f in frames:
         v = f.select(*groups, "value", fixed_bin(F.col("value")).alias("_at"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt"))
