@@ -27,13 +27,13 @@ def _removed(c: DataFrame, keys: list[str], side: str) -> DataFrame:
     first, last = "cast(floor(n_before * (m - 1D) / n_all) as int)", "cast(floor((n_before + n) * (m - 1D) / n_all) as int)"
     near = f"sequence(greatest(0, {first} - 1), least(m - 1, {last} + 1))"
     # the last point is 1 exactly, so its index is n and nothing is left
-    c = c.withColumn("i", F.explode(F.expr(f"filter({near}, i -> i = 0 or i < m - 1)"))).withColumn("k", F.expr(index)).where("k >= n_before and k < n_before + n")
-    left = "(err_all - err_before - (k - n_before) * (err / n)) / (n_all - k)"
+    c = c.withColumn("i", F.explode(F.expr(f"filter({near}, i -> i = 0 or i < m - 1)"))).withColumn("_cut", F.expr(index)).where("_cut >= n_before and _cut < n_before + n")
+    left = "(err_all - err_before - (_cut - n_before) * (err / n)) / (n_all - _cut)"
     return c.select(*keys, F.col("n_all").alias("n_rows"), F.lit(side).alias("side"), "m", "i", F.expr(left).alias("mean_left"))
 
 
 def sparsification(df: DataFrame, keys: list[str], error: str = "err", uncertainty: str = "unc") -> DataFrame:
-    """(keys..., n_rows, m, i, model, oracle): the retained-error curves at i / (m - 1), without their last point (nothing left)."""
+    """(keys..., n_rows, m, i, model, oracle; no key may have one of these names or v, n, err): the retained-error curves at i / (m - 1), without their last point (nothing left)."""
     valid = df.where(f"{error} is not null and {uncertainty} is not null and not isnan({uncertainty}) and not isnan({error})")
     by = lambda column: valid.groupBy(*keys, F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("err"))
     both = _removed(by(uncertainty), keys, "model").unionByName(_removed(by(error), keys, "oracle"))
