@@ -23,6 +23,8 @@ from posegrain.session import materialize
 BIN = "_bin"
 #: Copies of each open interval that the rows of a bin are spread over.
 SALTS = 8
+#: Open intervals (under 200 bytes each) up to which they are broadcast instead of shuffling the rows.
+BROADCAST_SPANS = 200_000
 
 
 def long_values(df: DataFrame, groups: dict[str, Column], columns: list[str]) -> DataFrame:
@@ -72,14 +74,20 @@ def _part(x: Column, lo: Column, hi: Column, fanout: int) -> Column:
 
 def _narrow(frames: list[DataFrame], open_: DataFrame, groups: list[str], fanout: int) -> DataFrame:
     """One pass: count rows below the midpoints of the open intervals, in each frame apart, and keep the parts with the targets."""
-    # every open interval lies in one bin of the fixed scale: with the bin in the join key a hot group is spread over its
-    # bins, and the salt splits what one hot value leaves in a bin
     spans = open_.select(*groups, F.col("lo").alias("a"), F.col("hi").alias("b"), fixed_bin(F.col("lo")).alias("_at")).distinct()
-    spans = spans.select("*", F.expr(f"explode(sequence(0L, {SALTS - 1}L))").alias("_salt"))
+    keys = [*groups, "_at"]
+    few = spans.count() <= BROADCAST_SPANS
+    if few:
+        spans, salt = F.broadcast(spans), []
+    else:
+        # every open interval lies in one bin of the fixed scale: with the bin in the join key a hot group is spread over
+        # its bins, and the salt splits what one hot value leaves in a bin
+        spans, salt = spans.select("*", F.expr(f"explode(sequence(0L, {SALTS - 1}L))").alias("_salt")), [F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt")]
+        keys = [*keys, "_salt"]
     counted = []
     for f in frames:
-        v = f.select(*groups, "value", fixed_bin(F.col("value")).alias("_at"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("_salt"))
-        near = v.alias("v").join(spans.alias("s"), reduce(lambda x, y: x & y, (F.col(f"v.{g}").eqNullSafe(F.col(f"s.{g}")) for g in [*groups, "_at", "_salt"])))
+        v = f.select(*groups, "value", fixed_bin(F.col("value")).alias("_at"), *salt)
+        near = v.alias("v").join(spans.alias("s"), reduce(lambda x, y: x & y, (F.col(f"v.{g}").eqNullSafe(F.col(f"s.{g}")) for g in keys)))
         near = near.where((F.col("value") >= F.col("a")) & (F.col("value") <= F.col("b")))
         near = near.select(*(F.col(f"v.{g}").alias(g) for g in groups), "a", "b", "value", _part(F.col("value"), F.col("a"), F.col("b"), fanout).alias(BIN))
         counted.append(near.groupBy(*groups, "a", "b", BIN).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))

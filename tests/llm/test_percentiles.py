@@ -42,6 +42,12 @@ def test_exact_against_sorting(spark, fanout):
     assert {r.max_error for r in d.collect()} == {0.0}
 
 
+def test_more_intervals_than_may_be_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(P, "BROADCAST_SPANS", 0)
+    rows = data(1000, seed=5)
+    assert collect(P.percentiles([values(spark, rows)], ["g", "h", "column_name"], WANT)) == brute(rows)
+
+
 def test_separate_loads_give_the_same(spark):
     rows = data(seed=2)
     parts = [values(spark, rows[i::3]) for i in range(3)] + [values(spark, [])]
