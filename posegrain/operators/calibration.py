@@ -219,24 +219,25 @@ def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[f
     return _grid_broadcast(v, keys, betas, taus) if rows <= broadcast_rows else _grid_distributed(v, keys, betas, taus, chunk)
 
 
-def ause_array(err: np.ndarray, unc: np.ndarray) -> float:
-    """ause() of one group in memory, ties even, last point kept."""
+def retained_error(err: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """Mean error of what is left after removal by descending value, at the points of the curve; ties even, last point kept."""
     n = len(err)
     m = min(n, POINTS)
-    if m < 2:
+    k = np.floor(np.arange(m - 1) * (1.0 / max(m - 1, 1)) * n).astype(np.int64)
+    u, at = np.unique(-value, return_inverse=True)
+    size, total = np.bincount(at, minlength=len(u)), np.bincount(at, err, minlength=len(u))
+    before, gone = np.cumsum(size) - size, np.cumsum(total) - total
+    b = np.searchsorted(before, k, side="right") - 1
+    tail = (total.sum() - gone[b] - (k - before[b]) * (total[b] / size[b])) / (n - k)
+    return np.append(tail, total[-1] / size[-1])
+
+
+def ause_array(err: np.ndarray, unc: np.ndarray, oracle: np.ndarray | None = None) -> float:
+    """ause() of one group in memory; ``oracle`` is retained_error(err, err), if it is known already."""
+    if len(err) < 2:
         return 0.0
-    k = np.floor(np.arange(m - 1) * (1.0 / (m - 1)) * n).astype(np.int64)
-
-    def left(value: np.ndarray) -> np.ndarray:
-        u, at = np.unique(-value, return_inverse=True)
-        size, total = np.bincount(at, minlength=len(u)), np.bincount(at, err, minlength=len(u))
-        before, gone = np.cumsum(size) - size, np.cumsum(total) - total
-        b = np.searchsorted(before, k, side="right") - 1
-        tail = (total.sum() - gone[b] - (k - before[b]) * (total[b] / size[b])) / (n - k)
-        return np.append(tail, total[-1] / size[-1])
-
-    gap = left(unc) - left(err)
-    return float((gap[1:] + gap[:-1]).sum() / 2 / (m - 1))
+    gap = retained_error(err, unc) - (retained_error(err, err) if oracle is None else oracle)
+    return float((gap[1:] + gap[:-1]).sum() / 2 / (len(gap) - 1))
 
 
 def _grid_broadcast(v: DataFrame, keys: list[str], betas: list[float], taus: list[float]) -> DataFrame:
@@ -246,6 +247,7 @@ def _grid_broadcast(v: DataFrame, keys: list[str], betas: list[float], taus: lis
     names = [*keys, "strategy", "beta", "tau", "n_rows", "ause"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        oracles = {key: retained_error(a[0], a[0]) for key, a in shared.value.items()}
         for b in batches:
             out = []
             for beta in b["beta"]:
@@ -254,7 +256,7 @@ def _grid_broadcast(v: DataFrame, keys: list[str], betas: list[float], taus: lis
                     eb, eg = np.exp(ub), np.exp(ug)
                     tries = [("max_pooling", None, np.maximum(ub, ug)), ("gating_k", None, np.where(k == 2, ug, ub)), ("softmax", None, (eb * ub + eg * ug) / (eb + eg))]
                     tries += [("gating_tau", t, np.where((k == 2) | (ug > t), ug, ub)) for t in taus]
-                    out += [(*key, s, beta, t, len(err), ause_array(err, u)) for s, t, u in tries]
+                    out += [(*key, s, beta, t, len(err), ause_array(err, u, oracles[key])) for s, t, u in tries]
             yield pd.DataFrame(out, columns=names)
 
     kinds = dict(v.dtypes)
