@@ -18,10 +18,13 @@ def mock_heatmaps(images: DataFrame, mode: str = "unimodal", width: int = 48, he
     its share of uniform numbers of the same kind to any mode.
     """
     d = images.select("image_id", F.explode(F.array(*(F.lit(i) for i in range(len(KEYPOINTS))))).alias("kp_idx"))
-    u = f"transform(sequence(0, {width * height - 1}), i -> (shiftrightunsigned(xxhash64(image_id, kp_idx, i, {seed}), 11) / {float(1 << 53)!r}D))"
-    base = u if mode == "noisy" else mock(mode, width, height)
-    d = d.select("*", F.expr(base).alias("b"))
-    d = d.select("image_id", "kp_idx", F.expr(f"zip_with(b, {u}, (x, n) -> greatest(x + {noise}D * n, 0D))" if noise else "b").alias("b"))
+    at = f"sequence(0, {width * height - 1})"
+    n = f"(shiftrightunsigned(xxhash64(image_id, kp_idx, i, {seed}), 11) / {float(1 << 53)!r}D)"
+    if mode == "noisy":
+        d = d.select("*", F.expr(f"transform({at}, i -> {n})").alias("b"))
+    else:  # one row: the map is the same for all images and joints, and made once
+        d = d.crossJoin(F.broadcast(d.sparkSession.range(1).select(F.expr(mock(mode, width, height)).alias("b"))))
+    d = d.select("image_id", "kp_idx", F.expr(f"zip_with(b, {at}, (x, i) -> greatest(x + {noise}D * {n}, 0D))" if noise else "b").alias("b"))
     d = d.select("*", F.array_max("b").alias("m"))
     return d.select("image_id", "kp_idx", F.expr("transform(b, x -> if(m > 0, x / m, x))").alias("hm"), F.lit(width).alias("hm_w"), F.lit(height).alias("hm_h"))
 
