@@ -331,11 +331,22 @@ def ref_mode_choice(spark, sf_dir):
 
 @query(f"with {COMP} select image_id, kp_idx, cand_idx, i::int as vertex, {rnd(f'mx + 2 * sqrt((cxx + cyy) / 2 + sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy)) * cos(i * 2 * pi() / 8) * cos(atan2(2 * cxy, cxx - cyy) / 2) - 2 * sqrt((cxx + cyy) / 2 - sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy)) * sin(i * 2 * pi() / 8) * sin(atan2(2 * cxy, cxx - cyy) / 2)')} as x from comp, range(0, 8) t(i) where cand_idx = 1")
 def ref_ellipse(spark, sf_dir):
-    """Eight vertices of the two-sigma ellipses."""
+    """x of eight vertices of the two-sigma ellipse of the second component of each joint, as its SQL has it; ``ref_ellipse_all`` has all of them."""
     d = components(spark, sf_dir).where("cand_idx = 1").select("image_id", "kp_idx", "cand_idx", F.posexplode(F.expr(G.ellipse(8))).alias("vertex", "p"))
     return rounded(d.select("image_id", "kp_idx", "cand_idx", "vertex", F.col("p.x").alias("x")))
 
 
+_R = "sqrt(pow((cxx - cyy) / 2, 2) + cxy * cxy)"
+
+
+@query(f"""with {COMP}, e as (select image_id, kp_idx, cand_idx, mx, my, 2 * sqrt((cxx + cyy) / 2 + {_R}) as a, 2 * sqrt(greatest((cxx + cyy) / 2 - {_R}, 0)) as b, atan2(2 * cxy, cxx - cyy) / 2 as angle from comp)
+ select image_id, kp_idx, cand_idx, i::int as vertex, {rnd('mx + a * cos(i * 2 * pi() / 64) * cos(angle) - b * sin(i * 2 * pi() / 64) * sin(angle)')} as x, {rnd('my + a * cos(i * 2 * pi() / 64) * sin(angle) + b * sin(i * 2 * pi() / 64) * cos(angle)')} as y from e, range(0, 64) t(i)""")
+def ref_ellipse_all(spark, sf_dir):
+    """The 64 vertices of the two-sigma ellipses of all components."""
+    d = components(spark, sf_dir).select("image_id", "kp_idx", "cand_idx", F.posexplode(F.expr(G.ellipse())).alias("vertex", "p"))
+    return rounded(d.select("image_id", "kp_idx", "cand_idx", "vertex", F.col("p.x").alias("x"), F.col("p.y").alias("y")))
+
+
 @query(f"""with {COMP}, g as (select image_id, kp_idx, i % 16 * 3.2::double as x, i // 16 * 3.0::double as y, i, sum(weight * ({_PDF('(i % 16 * 3.2::double)', '(i // 16 * 3.0::double)')})) as d from comp, range(0, 256) t(i) group by all)
  select image_id, kp_idx, i::int as cell, {rnd('d')} as density from g qualify row_number() over (partition by {_BY} order by round(d, 12) desc, i) = 1""")
 def ref_grid_mode(spark, sf_dir):

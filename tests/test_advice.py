@@ -25,3 +25,16 @@ def test_noise_of_mock_maps_is_seeded_by_image_joint_and_place(spark):
     for r in models.mock_heatmaps(ids, "bimodal", 5, 6, noise=0.1).collect():
         want = base + 0.1 * np.array(n[r.image_id, r.kp_idx])
         assert r.hm == pytest.approx(want / want.max())
+
+
+def test_ellipse_has_all_components_and_both_coordinates(spark, tmp_path):
+    rows = [(1, 1, 5, 1, 10.0, 1000.0, 0.05, 0.02), (1, 1, 6, 1, 20.0, 1010.0, 0.1, 0.0), (1, 1, 7, 1, 30.0, 1020.0, 0.0, 0.08), (1, 2, 5, 1, 4.0, 500.0, 0.03, 0.01)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = Q.ref_ellipse_all(spark, str(tmp_path)).collect()
+    comps = {(r[0], r[1] - 1, i): r for r, i in zip(rows, (0, 1, 2, 0))}
+    assert {(r.image_id, r.kp_idx, r.cand_idx, r.vertex) for r in got} == {(*k, v) for k in comps for v in range(64)} and len(got) == 256
+    for r in got:
+        _, _, _, _, quantity, price, discount, tax = comps[r.image_id, r.kp_idx, r.cand_idx]
+        d = np.array([r.x - quantity, r.y - price % 48])
+        cov = np.array([[1 + 50 * discount, 10 * discount - 0.5], [10 * discount - 0.5, 1 + 40 * tax]])
+        assert d @ np.linalg.inv(cov) @ d == pytest.approx(4, abs=1e-4)
