@@ -538,10 +538,19 @@ def ref_growing_uniform(spark, sf_dir):
 
 @query(f"with {PK}, p as (select image_id, avg(delta_oks) filter (model_name = 'hrnet_w32') as hrnet_w32, avg(delta_oks) filter (model_name = 'resnet50') as resnet50 from pk group by 1) select image_id, {rnd('hrnet_w32')} as hrnet_w32, {rnd('resnet50')} as resnet50, {rnd('(hrnet_w32 + resnet50) / 2')} as avg_value from p where hrnet_w32 is not null and resnet50 is not null")
 def ref_cross_model(spark, sf_dir):
-    """Images that two models have in common, with both gains."""
+    """Images that two models have in common whatever their dataset label, with both gains, as its SQL has it; ``ref_cross_model_all`` has three models."""
     return rounded(mining.cross_model(packets(spark, sf_dir), ["image_id"], "model_name", ["hrnet_w32", "resnet50"], "delta_oks"))
 
 
+_THREE = ("hrnet_w32", "resnet50", "vitpose_small")
+
+
+@query(f"with {PK}, p as (select image_id, dataset, {', '.join(f"avg(delta_oks) filter (model_name = '{m}') as {m}" for m in _THREE)} from pk where dataset is not null group by all) select image_id, dataset, {', '.join(f'{rnd(m)} as {m}' for m in _THREE)}, {rnd('(' + ' + '.join(_THREE) + ') / 3')} as avg_value from p where {' and '.join(f'{m} is not null' for m in _THREE)}")
+def ref_cross_model_all(spark, sf_dir):
+    """Images of a dataset that all three models have in common, with their gains; packets without a label are of no dataset, as in a pivot by label."""
+    return rounded(mining.cross_model(packets(spark, sf_dir).where("dataset is not null"), ["image_id", "dataset"], "model_name", list(_THREE), "delta_oks"))
+
+
 @query()
 def ref_packet_mining(spark, sf_dir):
     """Packets with their bimodal joints, ranked in three ways (top 20 of each is the feature)."""

@@ -38,3 +38,15 @@ def test_ellipse_has_all_components_and_both_coordinates(spark, tmp_path):
         d = np.array([r.x - quantity, r.y - price % 48])
         cov = np.array([[1 + 50 * discount, 10 * discount - 0.5], [10 * discount - 0.5, 1 + 40 * tax]])
         assert d @ np.linalg.inv(cov) @ d == pytest.approx(4, abs=1e-4)
+
+
+def test_cross_model_wants_three_models_of_one_dataset(spark, tmp_path):
+    rows = [(1, "coco", "hrnet_w32", 0.1), (1, " COCO", "ResNet50", 0.2), (1, "coco", "vitpose_small", 0.6), (1, "coco", "vitpose_small", 0.4), (1, "crowd", "hrnet_w32", 0.9)]
+    rows += [(2, "coco", "hrnet_w32", 0.1), (2, "coco", "resnet50", 0.2)]  # two models
+    rows += [(3, "coco", "hrnet_w32", 0.1), (3, "coco", "resnet50", 0.2), (3, "crowd", "vitpose_small", 0.3)]  # three models, of two datasets
+    rows += [(4, None, m, 0.1) for m in ("hrnet_w32", "resnet50", "vitpose_small")]
+    p = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "packet_id bigint, image_id bigint, dataset string, model_name string, delta_oks double")
+    rest = {c: F.lit(None).cast("double") for c in ("oks_base", "oks_ours", "nll", "entropy", "covariance_volume")}
+    p.withColumns(rest | {"load_id": F.lit(1), "loaded_at": F.lit("2024-01-01").cast("timestamp")}).write.parquet(str(tmp_path / "packet_metric.parquet"))
+    got = [tuple(r) for r in Q.ref_cross_model_all(spark, str(tmp_path)).collect()]
+    assert got == [(1, "coco", 0.1, 0.2, 0.5, pytest.approx(0.8 / 3, abs=1e-6))]
