@@ -507,11 +507,18 @@ def ref_labels(spark, sf_dir):
 
 @query("select event_id, json_extract_string(props, '$.k') as k from events where event_type <> 'error' and ts >= timestamp '2024-01-03 00:00:00'")
 def ref_config_values(spark, sf_dir):
-    """A value of each stored JSON configuration of runs from a date on."""
+    """A value of each stored JSON configuration of runs from a date on, without events of type error, as its SQL has it; ``ref_config_values_all`` has these too."""
     d = table(spark, sf_dir, "events").where("event_type <> 'error' and to_date(ts) >= date'2024-01-03'")
     return d.select("event_id", S.config_value(F.col("props"), "k").alias("k"))
 
 
+@query("select event_id, json_extract_string(props, '$.k') as k from events where ts >= timestamp '2024-01-03 00:00:00'")
+def ref_config_values_all(spark, sf_dir):
+    """A value of each stored JSON configuration of runs from a date on."""
+    d = table(spark, sf_dir, "events").where("to_date(ts) >= date'2024-01-03'")
+    return d.select("event_id", S.config_value(F.col("props"), "k").alias("k"))
+
+
 @query(f"""with {JOINT}, b as (select image_id, kp_idx, px as kx, py as ky, vis, px - 5 as bx, py - 2 as by_, 100.0::double as bw, 34.0::double as bh, 400.0::double as width, 400.0::double as height from joint where vis > 0),
  s as (select *, greatest(0, bx + bw / 2 - bw * 0.85::double / 2) as sx, greatest(0, by_ + bh / 2 - bh * 0.85::double / 2) as sy from b), t as (select *, case when sx + bw * 0.85::double > width then width - sx else bw * 0.85::double end as sw, case when sy + bh * 0.85::double > height then height - sy else bh * 0.85::double end as sh from s),
  d as (select *, sqrt(pow(greatest(0, sx - kx, kx - (sx + sw)), 2) + pow(greatest(0, sy - ky, ky - (sy + sh)), 2)) as dist from t) select image_id, kp_idx, {rnd('dist')} as dist_out, {rnd('dist / 100')} as rel_dist from d where dist >= 1 and dist <= 35""")

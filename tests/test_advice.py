@@ -50,3 +50,10 @@ def test_cross_model_wants_three_models_of_one_dataset(spark, tmp_path):
     p.withColumns(rest | {"load_id": F.lit(1), "loaded_at": F.lit("2024-01-01").cast("timestamp")}).write.parquet(str(tmp_path / "packet_metric.parquet"))
     got = [tuple(r) for r in Q.ref_cross_model_all(spark, str(tmp_path)).collect()]
     assert got == [(1, "coco", 0.1, 0.2, 0.5, pytest.approx(0.8 / 3, abs=1e-6))]
+
+
+def test_config_values_are_of_events_of_all_types(spark, tmp_path):
+    rows = [(1, "2024-01-02 23:59:59", "error", '{"k": 1}'), (2, "2024-01-03 00:00:00", "error", '{"k": 2}'), (3, "2024-01-04 12:00:00", "click", '{"k": 3}'), (4, "2024-01-05 12:00:00", None, '{"k": 4}')]
+    d = spark.createDataFrame(rows, "event_id bigint, ts string, event_type string, props string")
+    d.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
+    assert {r.event_id: str(r.k) for r in Q.ref_config_values_all(spark, str(tmp_path)).collect()} == {2: "2", 3: "3", 4: "4"}
