@@ -98,6 +98,18 @@ def packet_features(packets: DataFrame, candidates: DataFrame, second: float = 0
     return packets.join(b, "packet_id", "left").withColumn("n_bimodal", F.coalesce("n_bimodal", F.lit(0)))
 
 
+def joint_features(packets: DataFrame, joints: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds n_occluded, max_jump and max_jump_kp: occluded joints of each packet's image and the largest gain of one joint (0 and null if none gained).
+
+    ``joints`` has ``keys``, run_id, kp_idx, vis, oks_base and oks_ours; of runs of the same joint the highest counts.
+    """
+    j = joints.groupBy(*keys, "kp_idx").agg(F.max_by(F.struct("vis", F.expr("oks_ours - oks_base").alias("delta")), "run_id").alias("j"))
+    gain = F.struct(F.col("j.delta").alias("delta"), (-F.col("kp_idx")).alias("at"))
+    j = j.groupBy(*keys).agg(F.count_if(F.col("j.vis") == 1).alias("n_occluded"), F.max(F.when(F.col("j.delta") > 0, gain)).alias("g"))
+    d = packets.join(j, keys, "left").withColumn("n_occluded", F.coalesce("n_occluded", F.lit(0)))
+    return d.withColumn("max_jump", F.coalesce("g.delta", F.lit(0.0))).withColumn("max_jump_kp", -F.col("g.at")).drop("g")
+
+
 def focus_joint(wanted, joints: DataFrame, image: list[str], bimodal: DataFrame, default: int = 9) -> DataFrame:
     """(image..., focus_kp): a wanted index or name, else the first bimodal joint, else the largest gain, else ``default``."""
     from posegrain.schema import KEYPOINTS

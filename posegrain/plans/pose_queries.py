@@ -14,7 +14,7 @@ from posegrain.functions import scalars as S
 from posegrain.operators import augment as augment_ops
 from posegrain.operators import heatmap_ops, mining, mixture_fit, nested, poses, skeleton
 from posegrain.plans.calibration_queries import KP, PK, rnd, rounded
-from posegrain.schema import FLIP_PAIRS, KAPPA, KEYPOINTS, SKELETON, edge_dim, edges, joint_dim, keypoints, packets, pair_dim
+from posegrain.schema import FLIP_PAIRS, KAPPA, KEYPOINTS, SKELETON, edge_dim, edges, joint_dim, keypoints, label, packets, pair_dim
 from posegrain.session import materialize, table
 
 QUERIES: dict = {}
@@ -560,10 +560,16 @@ def ref_cross_model_all(spark, sf_dir):
 
 @query()
 def ref_packet_mining(spark, sf_dir):
-    """Packets with their bimodal joints, ranked in three ways (top 20 of each is the feature)."""
+    """Packets with their bimodal and occluded joints and largest joint gain, ranked in five ways (top 20 of each is the feature).
+
+    Joints are those of the packet's image, dataset and model. Swaps are not ranked: packets have no swaps after the fit.
+    """
     n = materialize(nested.normalize(nested.latest_delivery(table(spark, sf_dir, "packet_raw"), tie="body")).select("packet_id", "loaded_at", "unary"), "packets")
     p = mining.packet_features(packets(spark, sf_dir).join(n.select("packet_id"), "packet_id", "left_semi"), nested.child_table(n, "candidates"))
+    joints = keypoints(spark, sf_dir).select("image_id", F.col("dataset_name").alias("dataset"), label("model_arch").alias("model_name"), "run_id", "kp_idx", "vis", "oks_base", "oks_ours")
+    p = mining.joint_features(p, joints, ["image_id", "dataset", "model_name"])
     ranks = {"wins": (p.where("oks_ours >= 0.7D and delta_oks is not null"), [F.col("delta_oks").desc(), F.col("packet_id").asc()]), "bimodal": (p.where("n_bimodal > 0"), [F.col("n_bimodal").desc(), F.col("entropy").desc_nulls_last(), F.col("packet_id").asc()]), "regressions": (p.where("delta_oks is not null"), [F.col("delta_oks").asc(), F.col("packet_id").asc()])}
+    ranks |= {"occluded": (p.where("n_occluded > 0 and delta_oks > 0"), [F.col("n_occluded").desc(), F.col("covariance_volume").desc_nulls_last(), F.col("packet_id").asc()]), "single_joint": (p, [F.col("max_jump").desc(), F.col("packet_id").asc()])}
     return mining.catalog(ranks, 20)
 
 

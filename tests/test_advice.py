@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from posegrain.operators import mining
 from posegrain.plans import pose_queries as Q
 from posegrain.sources import models
 
@@ -57,3 +58,16 @@ def test_config_values_are_of_events_of_all_types(spark, tmp_path):
     d = spark.createDataFrame(rows, "event_id bigint, ts string, event_type string, props string")
     d.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(str(tmp_path / "events.parquet"))
     assert {r.event_id: str(r.k) for r in Q.ref_config_values_all(spark, str(tmp_path)).collect()} == {2: "2", 3: "3", 4: "4"}
+
+
+def test_joint_features(spark):
+    p = spark.createDataFrame([(1, 7), (2, 8), (3, 9)], "packet_id int, image_id int")
+    rows = [(7, 1, 0, 1, 0.1, 0.9), (7, 2, 0, 2, 0.1, 0.2), (7, 2, 3, 1, 0.2, 0.7), (7, 2, 4, 1, 0.2, 0.7), (7, 2, 5, 1, None, 0.9), (8, 1, 0, 2, 0.5, 0.4)]
+    j = spark.createDataFrame(rows, "image_id int, run_id int, kp_idx int, vis int, oks_base double, oks_ours double")
+    got = {r.packet_id: (r.n_occluded, round(r.max_jump, 6), r.max_jump_kp) for r in mining.joint_features(p, j, ["image_id"]).collect()}
+    assert got == {1: (3, 0.5, 3), 2: (0, 0.0, None), 3: (0, 0.0, None)}
+
+
+def test_packet_mining_has_occluded_and_single_joint_lists(spark):
+    got = {(r.query, r.place) for r in Q.ref_packet_mining(spark, "/root/testdata/sf0.01").collect()}
+    assert {q for q, _ in got} >= {"wins", "bimodal", "regressions", "single_joint"} and ("single_joint", 20) in got
