@@ -177,8 +177,8 @@ def ref_cell_masses(spark, sf_dir):
 
 @query()
 def ref_samples(spark, sf_dir):
-    """100 stratified samples of every map."""
-    return mixture_fit.sample_table(heatmaps(spark, sf_dir), ["vec_id"], 100, "stratified", 0.3, 0.5)
+    """1,000 stratified samples of every map."""
+    return mixture_fit.sample_table(heatmaps(spark, sf_dir), ["vec_id"], 1000, "stratified", 0.3, 0.5)
 
 
 @query("select x, y, " + rnd("exp(-(pow(x - 24, 2) + pow(y - 32, 2)) / (2 * 6.0::double * 6.0::double))") + " as v from (select (i % 48)::int as x, (i // 48)::int as y from range(0, 3072) t(i))")
@@ -357,13 +357,13 @@ def ref_grid_mode(spark, sf_dir):
 @query()
 def ref_fit(spark, sf_dir):
     """Sampling, fitting and model choice of every map in one pass."""
-    return mixture_fit.fit_heatmaps(heatmaps(spark, sf_dir), ["vec_id"], n=300).selectExpr("vec_id", "model_type", "uniform_weight", "bic", "converged", "size(components) as n_components")
+    return mixture_fit.fit_heatmaps(heatmaps(spark, sf_dir), ["vec_id"]).selectExpr("vec_id", "model_type", "uniform_weight", "bic", "converged", "size(components) as n_components")
 
 
 @query()
 def ref_fit_repeats(spark, sf_dir):
     """Five fits of each map and their bootstrap summary."""
-    return mixture_fit.combine_repeats(mixture_fit.fit_heatmaps(heatmaps(spark, sf_dir), ["vec_id"], n=200, repeats=5), ["vec_id"])
+    return mixture_fit.combine_repeats(mixture_fit.fit_heatmaps(heatmaps(spark, sf_dir), ["vec_id"], repeats=5), ["vec_id"])
 
 
 # ---- skeleton
@@ -577,7 +577,7 @@ def ref_packet_mining(spark, sf_dir):
 def ref_image_pipeline(spark, sf_dir):
     """From maps to image metrics in one plan: fit, mode, decoding of joints without a fit by their maximum, image summary."""
     h = heatmaps(spark, sf_dir)
-    f = mixture_fit.fit_heatmaps(h, ["image_id", "kp_idx"], n=200)
+    f = mixture_fit.fit_heatmaps(h, ["image_id", "kp_idx"])
     lead = "get(components, cast(array_position(transform(components, c -> c.weight), array_max(transform(components, c -> c.weight))) - 1 as int))"
     m = f.withColumn("lead", F.expr(lead)).join(heatmap_ops.decode_argmax(h).select("image_id", "kp_idx", "px", "py", "score"), ["image_id", "kp_idx"])
     m = m.withColumn("x", F.expr("coalesce(lead.mx, cast(px as double))")).withColumn("y", F.expr("coalesce(lead.my, cast(py as double))"))

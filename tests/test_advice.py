@@ -71,3 +71,15 @@ def test_joint_features(spark):
 def test_packet_mining_has_occluded_and_single_joint_lists(spark):
     got = {(r.query, r.place) for r in Q.ref_packet_mining(spark, "/root/testdata/sf0.01").collect()}
     assert {q for q, _ in got} >= {"wins", "bimodal", "regressions", "single_joint"} and ("single_joint", 20) in got
+
+
+def test_fits_and_samples_draw_1000_points(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(1)
+    spark.createDataFrame([(i, "a", rng.random(64).tolist()) for i in range(2)], "vec_id bigint, label string, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert {r["count"] for r in Q.ref_samples(spark, str(tmp_path)).groupBy("vec_id").count().collect()} == {1000}
+    used = []
+    fit = Q.mixture_fit.fit_heatmaps
+    monkeypatch.setattr(Q.mixture_fit, "fit_heatmaps", lambda *a, n=1000, **how: used.append(n) or fit(*a, n=n, **how))
+    for q in (Q.ref_fit, Q.ref_fit_repeats, Q.ref_image_pipeline):
+        q(spark, str(tmp_path))
+    assert used == [1000, 1000, 1000]
