@@ -36,7 +36,16 @@ class ValueCountStore:
     """Versioned value-count table in the shared folder.  ``apply`` writes the next version; readers keep theirs."""
 
     def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.version = spark, path or shared_path(spark, "value-counts"), 0
+        self.spark, self.path, self.version = spark, path or shared_path(spark, "value-counts"), self._latest(spark, path) if path else 0
+
+    @staticmethod
+    def _latest(spark: SparkSession, path: str) -> int:
+        """The last version that was written to its end below ``path``; 0 if there is none."""
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+        return max((int(n[1:]) for n in done), default=0)
 
     def read(self) -> DataFrame:
         return self.spark.read.schema("table_name string, column_name string, load_id int, num double, txt string, n bigint").parquet(f"{self.path}/v{self.version}")

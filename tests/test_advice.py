@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from posegrain.operators import mining
+from posegrain.operators import mining, profile
 from posegrain.plans import pose_queries as Q
 from posegrain.sources import models
 
@@ -83,3 +83,14 @@ def test_fits_and_samples_draw_1000_points(spark, tmp_path, monkeypatch):
     for q in (Q.ref_fit, Q.ref_fit_repeats, Q.ref_image_pipeline):
         q(spark, str(tmp_path))
     assert used == [1000, 1000, 1000]
+
+
+def test_value_counts_are_kept_across_openings(spark, tmp_path):
+    path = str(tmp_path / "store")
+    delta = lambda load: spark.createDataFrame([("t", "c", load, 1.0, None, 2)], "table_name string, column_name string, load_id int, num double, txt string, n bigint")
+    profile.ValueCountStore(spark, path).apply(delta(1))
+    (tmp_path / "store" / "v7").mkdir()  # a version that was not written to its end
+    again = profile.ValueCountStore(spark, path)
+    assert again.version == 1
+    assert {(r.load_id, r.n) for r in again.apply(delta(2)).collect()} == {(1, 2), (2, 2)}
+    assert profile.ValueCountStore(spark, path).version == 2
