@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from urllib.parse import unquote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,9 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where none is set, a local one is made and set."""
+    """The folder named by ``spark.checkpoint.dir``.  Where none is set, a local master makes and sets one; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="posegrain-")
         spark.sparkContext.setCheckpointDir(root)
     return root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root)
@@ -41,3 +46,9 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
+
+
+def open_shared(uri: str) -> pa.NativeFile:
+    """A file of the shared folder, opened on an executor without the JVM.  Names come from ``DataFrame.inputFiles``."""
+    where, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), unquote(uri.removeprefix("file:")))
+    return where.open_input_file(path)
