@@ -57,18 +57,16 @@ def p3_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _top_packets(spark, sf_dir, ["sample_type"])
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
-
-
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items and the documents that hold 12 consecutive words of them, or all words of a shorter item."""
-    return _leaks(spark, sf_dir).where("in_order").select("item_id", "doc_id")
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"), shingle=5, radius=3)
+    return found.where("in_order").select("item_id", "doc_id")
 
 
 def p7_near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All leaks at a shingle similarity of 0.8 or more, with the number of windows found."""
-    return _leaks(spark, sf_dir)
+    """Items and the documents that hold passages of them word for word or with about one word in ten exchanged, dropped or
+    put in, with the number of windows found."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_item"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
