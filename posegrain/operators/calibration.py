@@ -9,36 +9,41 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from posegrain.operators.prefix import average_ranks, cumulate, quantiles
+from posegrain.operators.prefix import average_ranks, cumulate, quantiles, same
+from posegrain.session import materialize
 
 POINTS = 100
 
 
-def _removed(c: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Mean error of what is left at each point of the curve, after removal by descending value.
+def _curves(df: DataFrame, keys: list[str], error: str, uncertainty: str) -> DataFrame:
+    """(keys..., side, v, n, err): rows and errors by value, by uncertainty (side model) and by the error itself (side oracle).
 
-    Rows of one value are removed evenly: a cut inside a tie takes their mean error.  So the curve does not depend on the
-    order of equal values, and needs one row a value.
+    Both sides are rows of one array, so the input is read and shuffled once.
     """
-    c = cumulate(c, keys, "v", ["n", "err"], descending=True)
+    sides = F.array(*(F.struct(F.lit(s).alias("side"), F.col(c).cast("double").alias("v")) for s, c in (("model", uncertainty), ("oracle", error))))
+    d = df.where(f"{error} is not null and {uncertainty} is not null and not isnan({uncertainty}) and not isnan({error})")
+    return d.select(*keys, F.col(error).alias("err"), F.inline(sides)).groupBy(*keys, "side", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("err").alias("err"))
+
+
+def sparsification(df: DataFrame, keys: list[str], error: str = "err", uncertainty: str = "unc") -> DataFrame:
+    """(keys..., n_rows, m, i, model, oracle; no key may have one of these names or v, n, err, side): the retained-error curves at i / (m - 1), without their last point (nothing left).
+
+    Rows are removed by descending value.  Rows of one value are removed evenly: a cut inside a tie takes their mean
+    error.  So the curves do not depend on the order of equal values, and need one row a value.
+    """
+    c = cumulate(_curves(df, keys, error, uncertainty), [*keys, "side"], "v", ["n", "err"], descending=True)
     m = F.least(F.col("n_all"), F.lit(POINTS)).cast("int")
     c = c.withColumn("m", m).where("m > 1 or n_before = 0")
     index = "least(cast(floor(i * (1D / greatest(m - 1, 1)) * n_all) as bigint), n_all)"
     first, last = "cast(floor(n_before * (m - 1D) / n_all) as int)", "cast(floor((n_before + n) * (m - 1D) / n_all) as int)"
     near = f"sequence(greatest(0, {first} - 1), least(m - 1, {last} + 1))"
+    # plain arithmetic leaves the few values at whose rows a point can lie; only they meet the lambda
+    c = c.where("floor((n_before + n + 1) * (m - 1D) / n_all) > floor((n_before - 1) * (m - 1D) / n_all) or m = 1")
     # the last point is 1 exactly, so its index is n and nothing is left
     c = c.withColumn("i", F.explode(F.expr(f"filter({near}, i -> i = 0 or i < m - 1)"))).withColumn("_cut", F.expr(index)).where("_cut >= n_before and _cut < n_before + n")
-    left = "(err_all - err_before - (_cut - n_before) * (err / n)) / (n_all - _cut)"
-    return c.select(*keys, F.col("n_all").alias("n_rows"), F.lit(side).alias("side"), "m", "i", F.expr(left).alias("mean_left"))
-
-
-def sparsification(df: DataFrame, keys: list[str], error: str = "err", uncertainty: str = "unc") -> DataFrame:
-    """(keys..., n_rows, m, i, model, oracle; no key may have one of these names or v, n, err): the retained-error curves at i / (m - 1), without their last point (nothing left)."""
-    valid = df.where(f"{error} is not null and {uncertainty} is not null and not isnan({uncertainty}) and not isnan({error})")
-    by = lambda column: valid.groupBy(*keys, F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"), F.sum(error).alias("err"))
-    both = _removed(by(uncertainty), keys, "model").unionByName(_removed(by(error), keys, "oracle"))
-    value = lambda side: F.max(F.when(F.col("side") == side, F.col("mean_left"))).alias(side)
-    return both.groupBy(*keys, "n_rows", "m", "i").agg(value("model"), value("oracle"))
+    left = F.expr("(err_all - err_before - (_cut - n_before) * (err / n)) / (n_all - _cut)")
+    value = lambda side: F.max(F.when(F.col("side") == side, left)).alias(side)
+    return c.groupBy(*keys, F.col("n_all").alias("n_rows"), "m", "i").agg(value("model"), value("oracle"))
 
 
 def ause(df: DataFrame, keys: list[str], error: str = "err", uncertainty: str = "unc", last_point: str = "zero") -> DataFrame:
@@ -54,13 +59,9 @@ def ause(df: DataFrame, keys: list[str], error: str = "err", uncertainty: str =
     if last_point == "clip":
         valid = df.where(f"{error} is not null and {uncertainty} is not null and not isnan({uncertainty}) and not isnan({error})")
         low = valid.groupBy(*keys).agg(F.min(error).alias("least_error"), F.min(uncertainty).alias("u"))
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"l.{k}"))
+        on = same(keys, "d", "l")
         ends = valid.alias("d").join(low.alias("l"), on & (F.col(f"d.{uncertainty}") == F.col("l.u"))).groupBy(*(F.col(f"d.{k}").alias(k) for k in keys)).agg((F.avg(f"d.{error}") - F.first("l.least_error")).alias("end"))
-        on = F.lit(True)
-        for k in keys:
-            on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"e.{k}"))
+        on = same(keys, "a", "e")
         area = area.alias("a").join(ends.alias("e"), on).select(*(F.col(f"a.{k}").alias(k) for k in keys), "n_rows", (F.col("area") + F.when(F.col("m") > 1, F.col("end") * 0.5 / (F.col("m") - 1)).otherwise(0.0)).alias("area"))
     return area.select(*keys, "n_rows", F.col("area").alias("ause"))
 
@@ -95,9 +96,7 @@ def sparsification_report(df: DataFrame, keys: list[str], beta: float = 0.1, tau
 def quantile_bins(df: DataFrame, keys: list[str], value: str, error: str, bins: int = 10) -> DataFrame:
     """(keys..., bin, mean_unc, mean_err, n): calibration bins between distinct quantile edges; a value on an edge belongs to the lower bin.  Needs at least one key."""
     edges = quantiles(df, keys, value, [i / bins for i in range(bins + 1)]).groupBy(*keys).agg(F.array_sort(F.collect_set("value")).alias("edges"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}"))
+    on = same(keys, "d", "e")
     d = df.where(f"{value} is not null and {error} is not null").alias("d").join(edges.alias("e"), on)
     place = F.greatest(F.lit(0), F.size(F.filter("e.edges", lambda x: x < F.col(f"d.{value}"))) - 1)
     d = d.select(*(F.col(f"d.{k}").alias(k) for k in keys), place.alias("bin"), F.col(f"d.{value}").alias("u"), F.col(f"d.{error}").alias("err"))
@@ -113,10 +112,19 @@ def expected_calibration_error(bins: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """(keys..., n, spearman): correlation of average ranks; null for fewer than 2 rows."""
-    v = df.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})").select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
-    r = average_ranks(average_ranks(v, keys, "x", "rx"), keys, "y", "ry")
-    return r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) > 1, F.corr("rx", "ry")).alias("spearman"))
+    """(keys..., n, spearman): correlation of average ranks; null for fewer than 2 rows and for a side without differences.
+
+    Equal pairs are counted first and written once; ranks are looked up by value, and deviations are taken from the
+    mean rank, which is known, so nothing cancels at large n.
+    """
+    v = df.where(f"{x} is not null and {y} is not null and not isnan({x}) and not isnan({y})")
+    pairs = materialize(v.groupBy(*keys, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    side = lambda c: average_ranks(pairs.groupBy(*keys, c).agg(F.sum("n").alias("n")), keys, c, f"r{c}")
+    r = pairs.alias("p").join(side("x").alias("a"), same([*keys, "x"], "p", "a")).join(side("y").alias("b"), same([*keys, "y"], "p", "b"))
+    mid = (F.col("a.n_all") + 1) / 2.0
+    r = r.select(*(F.col(f"p.{k}").alias(k) for k in keys), "p.n", (F.col("rx") - mid).alias("dx"), (F.col("ry") - mid).alias("dy"))
+    r = r.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.expr("n * dx * dy")).alias("xy"), F.sum(F.expr("n * dx * dx")).alias("xx"), F.sum(F.expr("n * dy * dy")).alias("yy"))
+    return r.select(*keys, "n", F.expr("if(n > 1 and xx > 0 and yy > 0, xy / sqrt(xx * yy), null)").alias("spearman"))
 
 
 def roc_counts(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
@@ -168,9 +176,7 @@ def density(df: DataFrame, keys: list[str], value: str, lo: float, hi: float, po
     """
     v = df.where(f"{value} is not null").groupBy(*keys, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     s = df.where(f"{value} is not null").groupBy(*keys).agg((F.stddev_samp(value) * F.pow(F.count(F.lit(1)).cast("double"), F.lit(-0.2))).alias("h"), F.count(F.lit(1)).alias("total"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}"))
+    on = same(keys, "v", "s")
     step = (hi - lo) / (points - 1)
     g = v.alias("v").join(s.alias("s"), on).where("h > 0").select(*(F.col(f"v.{k}").alias(k) for k in keys), "v", "n", "h", "total", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
     x = F.lit(lo) + F.col("j") * F.lit(step)
@@ -182,23 +188,17 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys..., n, mean, std, min, q1, median, q3, max): std is 0 for a single row."""
     a = df.where(f"{value} is not null").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     q = quantiles(df, keys, value, [0.25, 0.5, 0.75]).groupBy(*keys).agg(*(F.max(F.when(F.col("prob") == p, F.col("value"))).alias(n) for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"a.{k}").eqNullSafe(F.col(f"q.{k}"))
+    on = same(keys, "a", "q")
     return a.alias("a").join(q.alias("q"), on).select(*(F.col(f"a.{k}").alias(k) for k in keys), "n", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def boxplot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """summary() with the number of values beyond 1.5 interquartile ranges."""
     s = summary(df, keys, value)
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}"))
+    on = same(keys, "d", "s")
     out = df.alias("d").join(s.alias("s"), on).where(f"d.{value} < s.q1 - 1.5D * (s.q3 - s.q1) or d.{value} > s.q3 + 1.5D * (s.q3 - s.q1)")
     n = out.groupBy(*(F.col(f"s.{k}").alias(k) for k in keys)).agg(F.count(F.lit(1)).alias("n_fliers"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}"))
+    on = same(keys, "s", "n")
     return s.alias("s").join(n.alias("n"), on, "left").select("s.*", F.coalesce("n_fliers", F.lit(0)).alias("n_fliers"))
 
 

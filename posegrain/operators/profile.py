@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from posegrain.functions.monotone import fixed_bin, nan_to_null
+from posegrain.functions.monotone import nan_to_null
+from posegrain.operators.prefix import counted_quantiles
 from posegrain.session import shared_path
 
 KEY = ("table_name", "column_name", "load_id")
@@ -67,23 +68,8 @@ class ValueCountStore:
 
 
 def _median(state: DataFrame) -> DataFrame:
-    """Exact medians (mean of the two middle values) of the numeric columns, in two bounded steps.
-
-    Counts by bin of a fixed monotone scale find the bins that hold the middle ranks; only the values of these
-    bins are then sorted.  No task gets a whole load's values.
-    """
-    values = state.where("num is not null").select(*KEY, "num", "n", fixed_bin(F.col("num")).alias("bin"))
-    bins = values.groupBy(*KEY, "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy(*KEY)
-    bins = bins.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).withColumn("total", F.sum("n").over(total))
-    bins = bins.withColumn("k1", F.expr("(total + 1) div 2")).withColumn("k2", F.expr("total div 2 + 1"))
-    bins = bins.where("(k1 > below and k1 <= below + n) or (k2 > below and k2 <= below + n)").select(*KEY, "bin", "below", "k1", "k2")
-    near = values.join(bins, [*KEY, "bin"])
-    up = Window.partitionBy(*KEY, "bin").orderBy("num").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    near = near.withColumn("upto", F.col("below") + F.sum("n").over(up))
-    hit = lambda k: F.max(F.when((F.col(k) <= F.col("upto")) & (F.col(k) > F.col("upto") - F.col("n")), F.col("num")))
-    return near.groupBy(*KEY).agg(hit("k1").alias("a"), hit("k2").alias("b")).select(*KEY, F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.col("a") + F.col("b")) / 2).alias("median"))
+    """Exact medians (mean of the two middle values) of the numeric columns; no task sorts a whole load's values."""
+    return counted_quantiles(state.where("num is not null").select(*KEY, F.col("num").alias("v"), "n"), list(KEY), [0.5]).select(*KEY, F.col("value").alias("median"))
 
 
 def profile(state: DataFrame, pattern: str = NUMBER_PATTERN) -> DataFrame:
