@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -206,17 +205,22 @@ def beta_grid(lo: float = -6.0, hi: float = 4.0, n: int = 300) -> list[float]:
     return [10.0 ** (lo + (hi - lo) * i / (n - 1)) for i in range(n)]
 
 
-def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 50, broadcast_rows: int = 1_000_000) -> DataFrame:
+def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 50, group_rows: int = 2_000_000, chunks: int = 16) -> DataFrame:
     """(keys..., strategy, beta, tau, n_rows, ause) for every beta and strategy; ``best_beta`` picks the winners.
 
-    The grid multiplies the rows by some thousands.  Up to ``broadcast_rows`` rows (checked; 32 bytes each) the reduced
-    rows are broadcast and the grid is spread over the tasks; beyond that the rows stay distributed and the grid is taken
-    in chunks of ``chunk`` betas.  Both ways give the same areas.
+    The grid multiplies the rows by some thousands, so it is taken to the rows: a group is sent once to each of ``chunks``
+    tasks, which go through their part of the betas in arrays.  Groups of more than ``group_rows`` rows (40 bytes each;
+    counted first) do not fit there: their rows stay spread, and the grid multiplies them in chunks of ``chunk`` betas.
+    Both ways give the same areas.  Rows with a null or NaN measure are left out.
     """
-    v = df.where("vis > 0 and oks_ours is not null and cov_det is not null and base_score is not null")
-    v = v.select(*keys, F.expr("1D - oks_ours").alias("err"), F.col("cov_det").alias("det"), F.coalesce(F.col("n_components"), F.lit(-1)).cast("double").alias("k"), F.expr("1D - base_score").alias("ub"))
-    rows = v.limit(broadcast_rows + 1).count()
-    return _grid_broadcast(v, keys, betas, taus) if rows <= broadcast_rows else _grid_distributed(v, keys, betas, taus, chunk)
+    v = df.where("vis > 0").select(*keys, F.expr("1D - oks_ours").alias("err"), F.col("cov_det").alias("det"), F.coalesce(F.col("n_components"), F.lit(-1)).cast("double").alias("k"), F.expr("1D - base_score").alias("ub"))
+    v = materialize(v.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("err", "det", "ub"))), "beta-rows")
+    big = materialize(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows), "big-groups")
+    if not big.limit(1).count():
+        return _grid_in_arrays(v, keys, betas, taus, chunks)
+    of = same(keys, "v", "b")
+    rest, spread = v.alias("v").join(big.alias("b"), of, "left_anti"), v.alias("v").join(big.alias("b"), of, "left_semi")
+    return _grid_in_arrays(rest, keys, betas, taus, chunks).unionByName(_grid_distributed(spread, keys, betas, taus, chunk))
 
 
 def retained_error(err: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -224,12 +228,14 @@ def retained_error(err: np.ndarray, value: np.ndarray) -> np.ndarray:
     n = len(err)
     m = min(n, POINTS)
     k = np.floor(np.arange(m - 1) * (1.0 / max(m - 1, 1)) * n).astype(np.int64)
-    u, at = np.unique(-value, return_inverse=True)
-    size, total = np.bincount(at, minlength=len(u)), np.bincount(at, err, minlength=len(u))
-    before, gone = np.cumsum(size) - size, np.cumsum(total) - total
-    b = np.searchsorted(before, k, side="right") - 1
-    tail = (total.sum() - gone[b] - (k - before[b]) * (total[b] / size[b])) / (n - k)
-    return np.append(tail, total[-1] / size[-1])
+    order = np.argsort(-value)  # the order among equal values does not matter
+    v = -value[order]
+    gone = np.concatenate(([0.0], np.cumsum(err[order])))
+    at = np.append(k, n - 1)
+    lo, hi = np.searchsorted(v, v[at], side="left"), np.searchsorted(v, v[at], side="right")
+    tie = (gone[hi] - gone[lo]) / (hi - lo)  # mean error among the rows of one value
+    tail = (gone[n] - gone[lo[:-1]] - (k - lo[:-1]) * tie[:-1]) / (n - k)
+    return np.append(tail, tie[-1])
 
 
 def ause_array(err: np.ndarray, unc: np.ndarray, oracle: np.ndarray | None = None) -> float:
@@ -240,28 +246,27 @@ def ause_array(err: np.ndarray, unc: np.ndarray, oracle: np.ndarray | None = Non
     return float((gap[1:] + gap[:-1]).sum() / 2 / (len(gap) - 1))
 
 
-def _grid_broadcast(v: DataFrame, keys: list[str], betas: list[float], taus: list[float]) -> DataFrame:
-    spark = v.sparkSession
-    pdf = v.toPandas()
-    shared = spark.sparkContext.broadcast({k: g[["err", "det", "k", "ub"]].to_numpy().T.copy() for k, g in pdf.groupby(keys, dropna=False)})  # at most broadcast_rows rows
+def _grid_in_arrays(v: DataFrame, keys: list[str], betas: list[float], taus: list[float], chunks: int) -> DataFrame:
+    chunks = max(1, min(chunks, len(betas)))
     names = [*keys, "strategy", "beta", "tau", "n_rows", "ause"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        oracles = {key: retained_error(a[0], a[0]) for key, a in shared.value.items()}
-        for b in batches:
-            out = []
-            for beta in b["beta"]:
-                for key, (err, det, k, ub) in shared.value.items():
-                    ug = 1.0 - np.exp(-beta * det)
-                    eb, eg = np.exp(ub), np.exp(ug)
-                    tries = [("max_pooling", None, np.maximum(ub, ug)), ("gating_k", None, np.where(k == 2, ug, ub)), ("softmax", None, (eb * ub + eg * ug) / (eb + eg))]
-                    tries += [("gating_tau", t, np.where((k == 2) | (ug > t), ug, ub)) for t in taus]
-                    out += [(*key, s, beta, t, len(err), ause_array(err, u, oracles[key])) for s, t, u in tries]
-            yield pd.DataFrame(out, columns=names)
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        err, det, k, ub = pdf[["err", "det", "k", "ub"]].to_numpy().T.copy()
+        oracle = retained_error(err, err)
+        eb = np.exp(ub)
+        out = []
+        for beta in betas[key[-1] :: chunks]:
+            ug = 1.0 - np.exp(-beta * det)
+            eg = np.exp(ug)
+            tries = [("max_pooling", None, np.maximum(ub, ug)), ("gating_k", None, np.where(k == 2, ug, ub)), ("softmax", None, (eb * ub + eg * ug) / (eb + eg))]
+            tries += [("gating_tau", t, np.where((k == 2) | (ug > t), ug, ub)) for t in taus]
+            out += [(*key[:-1], s, beta, t, len(err), ause_array(err, u, oracle)) for s, t, u in tries]
+        return pd.DataFrame(out, columns=names)
 
     kinds = dict(v.dtypes)
-    grid = spark.createDataFrame([(float(x),) for x in betas], "beta double").repartition(min(len(betas), max(1, spark.sparkContext.defaultParallelism)))
-    return grid.mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", strategy string, beta double, tau double, n_rows bigint, ause double")
+    sent = v.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    sent = sent.repartition(4 * v.sparkSession.sparkContext.defaultParallelism, *keys, "_chunk")  # a fixed number: the work is not in the bytes
+    return sent.groupBy(*keys, "_chunk").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", strategy string, beta double, tau double, n_rows bigint, ause double")
 
 
 def _grid_distributed(v: DataFrame, keys: list[str], betas: list[float], taus: list[float], chunk: int) -> DataFrame:

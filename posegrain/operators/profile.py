@@ -1,13 +1,15 @@
 """Column profiles from maintained value-count tables.
 
 Each column and load has a persistent table value -> count.  A load arrives as a delta with positive counts, rows
-taken back as negative ones; applying a delta adds counts and drops what has become zero.  All metrics (nulls,
-distinct values, range, pattern violations, median, entropy) are exact and come from the counts alone, so no
-load is ever read twice.
+taken back as negative ones; applying a delta adds counts and drops what has become zero, and touches no other load.
+All metrics (nulls, distinct values, range, pattern violations, median, entropy) are exact and come from the counts
+alone, so the rows of a load are never read again.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from posegrain.functions.monotone import nan_to_null
@@ -34,36 +36,75 @@ def value_counts(df: DataFrame, table_name: str, numeric: list[str], text: list[
 
 
 class ValueCountStore:
-    """Versioned value-count table in the shared folder.  ``apply`` writes the next version; readers keep theirs."""
+    """Persistent value counts below a path, one directory a table and load; opening the path again goes on from the last version.
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
-        self.spark, self.path, self.version = spark, path or shared_path(spark, "value-counts"), self._latest(spark, path) if path else 0
+    ``apply`` writes the loads it touches, and a small manifest that says where each load of the table stands; the other
+    loads are neither read nor written.  A version exists once its manifest does, so a run that died leaves no trace in
+    the state; readers keep the version they have opened.  One writer at a time.
+    """
 
-    @staticmethod
-    def _latest(spark: SparkSession, path: str) -> int:
-        """The last version that was written to its end below ``path``; 0 if there is none."""
-        root = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
-        done = [n for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-        return max((int(n[1:]) for n in done), default=0)
+    SCHEMA = "table_name string, column_name string, load_id int, num double, txt string, n bigint"
+
+    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+        self.spark, self.path = spark, path or shared_path(spark, "value-counts")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._at = lambda *parts: hadoop.Path("/".join((self.path, *parts)))
+        self._fs = self._at().getFileSystem(spark._jsc.hadoopConfiguration())
+        folder = self._at("manifest")
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
+        self.version = max((int(n[1:-5]) for n in names if n[:1] == "v" and n[1:-5].isdigit() and n[-5:] == ".json"), default=0)
+        #: table (in hexadecimal) and load -> directory of its counts
+        self.loads: dict[str, str] = self._manifest() if self.version else {}
+
+    def _manifest(self) -> dict[str, str]:
+        stream = self._fs.open(self._at("manifest", f"v{self.version}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _counts(self, loads: dict[str, str]) -> DataFrame:
+        places = sorted(set(loads.values()))
+        reader = self.spark.read.schema(self.SCHEMA)
+        return reader.parquet(*(f"{self.path}/{p}" for p in places)) if places else self.spark.createDataFrame([], self.SCHEMA)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("table_name string, column_name string, load_id int, num double, txt string, n bigint").parquet(f"{self.path}/v{self.version}")
+        """The state: one row a table, column, load and value."""
+        return self._counts(self.loads)
 
     def apply(self, *deltas: DataFrame) -> DataFrame:
-        """Add signed deltas and return the new state.  Rows whose count becomes 0 vanish; a negative count is an error."""
+        """Add signed deltas and return the new state.  Rows whose count becomes 0 vanish; a negative count is an error.
+
+        A delta has one row a table, column, load and value, and is read twice (its loads, then its rows): write one that is
+        costly to compute first.
+        """
         state = None
         for d in deltas:
             d = d.select(*KEY[:2], F.col("load_id").cast("int").alias("load_id"), *VALUE, F.col("n").cast("bigint").alias("n"))
             state = d if state is None else state.unionByName(d)
-        if self.version:
-            state = state.unionByName(self.read())
-        if self.version or len(deltas) > 1:
-            state = state.groupBy(*KEY, *VALUE).agg(F.sum("n").alias("n")).where("n <> 0")
+        place = F.concat_ws("_", F.hex("table_name"), F.coalesce(F.col("load_id").cast("string"), F.lit("none")))
+        touched = [r[0] for r in state.select(place).distinct().collect()]  # one row a load
+        known = {t: self.loads[t] for t in touched if t in self.loads}
+        if known:
+            state = state.unionByName(self._counts(known))
+        if known or len(deltas) > 1:
+            state = state.groupBy(*KEY, *VALUE).agg(F.sum("n").alias("n"))
+        state = state.where("n <> 0")
         state = state.withColumn("n", F.when(F.col("n") < 0, F.raise_error(F.lit("more rows were taken back than had arrived")).cast("bigint")).otherwise(F.col("n")))
-        state.write.option("compression", "zstd").parquet(f"{self.path}/v{self.version + 1}")
-        self.version += 1
+        version = self.version + 1
+        data = f"data/v{version}"
+        if self._fs.exists(self._at(data)):  # left by a run that died before its manifest
+            self._fs.delete(self._at(data), True)
+        state.withColumn("place", place).write.option("compression", "zstd").partitionBy("place").parquet(f"{self.path}/{data}")
+        written = {f.getPath().getName() for f in self._fs.listStatus(self._at(data)) if f.isDirectory()}
+        loads = {t: p for t, p in self.loads.items() if t not in touched}
+        loads |= {t: f"{data}/{d}" for t in touched if (d := f"place={t}") in written}  # a load taken back wholly has no directory
+        with_manifest = self._fs.create(self._at("manifest", f"v{version}.tmp"), True)
+        with_manifest.write(bytearray(json.dumps(loads).encode()))
+        with_manifest.close()
+        if not self._fs.rename(self._at("manifest", f"v{version}.tmp"), self._at("manifest", f"v{version}.json")):
+            raise RuntimeError(f"version {version} of {self.path} exists already")
+        self.version, self.loads = version, loads
         return self.read()
 
 

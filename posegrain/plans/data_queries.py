@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from posegrain.operators import containers, nested, profile, rescue
-from posegrain.session import materialize, table
+from posegrain.session import materialize, shared_path, table
 
 #: Target schema of the metric export: the keys and the measures that downstream tables need.
 EXPORT_SCHEMA = {"image_id": "bigint", "kp_idx": "int", "n_components": "int", "heatmap_entropy": "double", "base_score": "double", "uniform_weight": "double", "cov_det": "double", "oks_ours": "double", "vis": "int"}
@@ -81,13 +81,21 @@ def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.child_table(_packets(spark, sf_dir), "candidates")
 
 
+#: The columns of problem 5: table -> (numbers, texts).
+PROFILED = {"packet_metric": (["oks_ours", "covariance_volume"], ["covariance_volume_src"]), "keypoint": (["cov_det", "uniform_weight"], [])}
+
+
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = profile.ValueCountStore(spark)
-    state = store.apply(
-        profile.value_counts(table(spark, sf_dir, "packet_metric"), "packet_metric", ["oks_ours", "covariance_volume"], ["covariance_volume_src"]),
-        profile.value_counts(table(spark, sf_dir, "keypoint"), "keypoint", ["cov_det", "uniform_weight"]),
-    )
-    return profile.profile(state)
+    """Profiles from a store that is opened again for every load and gets that load's delta, as loads would arrive.
+
+    The rows are counted once; the counts wait by load, so that a delta reads its own load only.
+    """
+    counts = [profile.value_counts(table(spark, sf_dir, t), t, numeric, text) for t, (numeric, text) in PROFILED.items()]
+    waiting = materialize(counts[0].unionByName(counts[1]).withColumn("arrives", F.col("load_id")), "arrivals", ["arrives"])
+    path = shared_path(spark, "value-counts")
+    for r in waiting.select("arrives").distinct().orderBy(F.col("arrives").asc_nulls_first()).collect():  # one row a load
+        profile.ValueCountStore(spark, path).apply(waiting.where(F.col("arrives").eqNullSafe(F.lit(r.arrives))))
+    return profile.profile(profile.ValueCountStore(spark, path).read())
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

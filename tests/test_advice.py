@@ -89,7 +89,7 @@ def test_value_counts_are_kept_across_openings(spark, tmp_path):
     path = str(tmp_path / "store")
     delta = lambda load: spark.createDataFrame([("t", "c", load, 1.0, None, 2)], "table_name string, column_name string, load_id int, num double, txt string, n bigint")
     profile.ValueCountStore(spark, path).apply(delta(1))
-    (tmp_path / "store" / "v7").mkdir()  # a version that was not written to its end
+    (tmp_path / "store" / "data" / "v2").mkdir()  # a version that was not written to its end
     again = profile.ValueCountStore(spark, path)
     assert again.version == 1
     assert {(r.load_id, r.n) for r in again.apply(delta(2)).collect()} == {(1, 2), (2, 2)}

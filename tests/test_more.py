@@ -25,10 +25,12 @@ def test_focus_groups_are_disjoint_and_bounded(spark):
 
 def test_beta_search_both_ways(spark):
     rng = np.random.default_rng(2)
-    d = spark.createDataFrame([("s", 1, float(a), float(b * 9), float(np.round(c, 1)), int(k)) for a, b, c, k in zip(*rng.random((3, 150)), rng.integers(1, 3, 150))], "scope string, vis int, oks_ours double, cov_det double, base_score double, n_components int")
+    rows = [("s", 1, float(a), float(b * 9), float(np.round(c, 1)), int(k)) for a, b, c, k in zip(*rng.random((3, 150)), rng.integers(1, 3, 150))]
+    rows += [("s", 1, float("nan"), 1.0, 0.5, 1), ("s", 1, 0.5, float("nan"), 0.5, 2), ("s", 1, 0.5, 1.0, None, 2)]
+    d = spark.createDataFrame(rows, "scope string, vis int, oks_ours double, cov_det double, base_score double, n_components int")
     key = lambda r: (r.strategy, r.beta, r.tau or 0)
     near = {key(r): r.ause for r in C.beta_search(d, ["scope"], [0.1, 2.0], [0.2]).collect()}
-    far = {key(r): r.ause for r in C.beta_search(d, ["scope"], [0.1, 2.0], [0.2], broadcast_rows=1).collect()}
+    far = {key(r): r.ause for r in C.beta_search(d, ["scope"], [0.1, 2.0], [0.2], group_rows=1).collect()}
     assert near.keys() == far.keys() and len(near) == 8 and all(near[k] == pytest.approx(far[k], abs=1e-9) for k in near)
     best = {r.strategy: r.ause for r in C.best_beta(C.beta_search(d, ["scope"], [0.1, 2.0], [0.2]), ["scope"]).collect()}
     assert best["softmax"] == min(v for k, v in near.items() if k[0] == "softmax")

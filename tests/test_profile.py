@@ -41,6 +41,25 @@ def test_signed_deltas(spark):
         store.apply(P.value_counts(one, "t", ["a"], ["s"], sign=-1)).collect()
 
 
+def test_load_by_load_through_a_reopened_store(spark, tmp_path):
+    """Loads come one by one, one comes again with more rows, one is taken back; each time the store is opened by its path."""
+    path = "file://" + str(tmp_path / "counts")
+    loads = {k: frame(spark, [(k, float(i % (k + 2)), None, "x", 0.0) for i in range(10 * k)]) for k in (1, 2, 3)}
+    delta = lambda k, sign=1: P.value_counts(loads[k], "a/t", ["a"], ["s"], sign=sign)
+    for k in (1, 2, 3):
+        P.ValueCountStore(spark, path).apply(delta(k))
+    old = P.ValueCountStore(spark, path)
+    P.ValueCountStore(spark, path).apply(delta(2))
+    after = P.ValueCountStore(spark, path).apply(delta(1, -1))
+    key = lambda d: sorted(str(x) for x in d.select("load_id", "column_name", "num", "txt", "n").collect())
+    assert key(after) == key(delta(2).withColumn("n", P.F.col("n") * 2).unionByName(delta(3)))
+    assert key(old.read()) == key(delta(1).unionByName(delta(2)).unionByName(delta(3)))  # readers keep their version
+    store = P.ValueCountStore(spark, path)
+    assert store.version == 5 and sorted(int(k.split("_")[1]) for k in store.loads) == [2, 3]
+    assert {p.split("/")[1] for p in store.loads.values()} == {"v3", "v4"}  # load 3 was not written again
+    assert P.ValueCountStore(spark, path).apply(delta(1)).where("load_id = 1").count() == delta(1).count()
+
+
 def test_findings(spark):
     rows = [(1, 0.5 + i / 1000, 0.5, None, 0.0) for i in range(20)] + [(3, 2.0 + i / 1000 if i > 4 else None, 0.5, "bad", 0.0) for i in range(20)]
     f = P.findings(P.profile(P.value_counts(frame(spark, rows), "t", ["a", "b"], ["s"])), ["a", "b"], [], ["s"])
