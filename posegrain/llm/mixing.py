@@ -1,34 +1,38 @@
 """Mixing sources to target weights.
 
 Each source is an endless stream of its documents (in hash order, again and again up to its cap), cut into blocks
-of tokens.  Blocks are scheduled the Pfair way: block k of a source with weight w is released at slot floor(k / w)
-and due at slot ceil((k + 1) / w); among the released blocks the one with the earliest deadline gets the slot.  So at
-any slot a source is less than one block away from its share.  Weights are whole multiples of 1 / ``slots``, so the
-schedule repeats after ``slots`` slots: one period is computed on the driver (its size is a parameter, not the
-data's), and every block finds its slot by its number.
+of tokens.  What a source gives follows from its exact share (a fraction, never rounded to a grid); its blocks are
+scheduled the Pfair way: of n blocks in a schedule of T, block k is released at slot floor(k T / n) and due at slot
+ceil((k + 1) T / n); among the released blocks the one with the earliest deadline gets the slot.  So at any slot a
+source is less than one block away from its share.  A mix has at most ``max_blocks`` blocks (a mix too large for them
+gets larger blocks), so its schedule is bounded whatever the data's size; it is computed by a task of its own.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from fractions import Fraction
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-DEFAULT_SLOTS = 10_000
+MAX_BLOCKS = 1_000_000
 DEFAULT_BLOCK_TOKENS = 4_096
 BUCKET_DOCS = 20_000
-#: A split of texts into pieces for a byte-level vocabulary, public with the vocabulary; used where the installed package names none.
+TOKENIZERS_CONF = "posegrain.tokenizers"
+# Fixed value: the split of texts into pieces that belongs to the byte-level vocabulary.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
-    """Where the installed public tokenizers keep a file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def tokenizer_path(spark: SparkSession, name: str = "byte_bpe_50k.tiktoken") -> Path:
+    """A vocabulary file below the folder that the session's ``posegrain.tokenizers`` names, else below /opt/tokenizers."""
+    path = Path(spark.conf.get(TOKENIZERS_CONF, "/opt/tokenizers")) / name
+    if not path.is_file():
+        raise FileNotFoundError(f"no vocabulary {path}: set {TOKENIZERS_CONF} to the folder of the public tokenizers, or give vocabulary=")
+    return path
 
 
 def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], vocabulary: str | None = None) -> DataFrame:
@@ -38,7 +42,7 @@ def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], vocab
     that repeat within a batch are counted once.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(Path(vocabulary or tokenizer_path()).read_bytes())
+    ranks = spark.sparkContext.broadcast(Path(vocabulary or tokenizer_path(spark)).read_bytes())
     kept = docs.select(id_col, *keep, F.col(text).cast("string").alias("_t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,21 +66,6 @@ def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], vocab
     return kept.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in [id_col, *keep]) + ", n_tokens bigint")
 
 
-def quantize(shares: list[float], slots: int) -> list[int]:
-    """Whole slots of each source, in proportion to the shares, summing to ``slots``: largest remainders, at least 1 each."""
-    total = sum(shares)
-    exact = [s / total * slots for s in shares]
-    got = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(shares)), key=lambda i: (got[i] - exact[i], i))
-    i = 0
-    while (d := slots - sum(got)) != 0:
-        at = order[i % len(order)] if d > 0 else order[-1 - i % len(order)]
-        if d > 0 or got[at] > 1:
-            got[at] += 1 if d > 0 else -1
-        i += 1
-    return got
-
-
 def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
     """(source, block) in slot order over one period of sum(weights) slots: release times, deadlines, earliest deadline first."""
     slots = sum(weights)
@@ -95,13 +84,14 @@ def pfair_period(weights: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, slots: int = DEFAULT_SLOTS, total_tokens: int | None = None, max_targets: int = 100_000) -> list[dict]:
-    """One dict a mix and source: weight in slots, tokens it has, tokens to draw, cap.
+def plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, block_tokens: int = DEFAULT_BLOCK_TOKENS, total_tokens: int | None = None, max_targets: int = 100_000, max_blocks: int = MAX_BLOCKS) -> list[dict]:
+    """One dict a mix and source: number of the mix and of the source in it, share, tokens it has, quota to draw, cap, size and number of its blocks.
 
     Sources without tokens, with a null, NaN or non-positive share, or with max_repeats below 1 are left out; the other
     shares of the mix are scaled to 1.  The mix is as large as it can be with every share met and no source read
     more than max_repeats times (null: no cap; if no source has one, as large as the sources together), or
-    ``total_tokens`` if that is less.  The targets are a small table by nature; more than ``max_targets`` rows are an error.
+    ``total_tokens`` if that is less.  Shares are exact fractions: a quota is cut by less than one token, however small
+    the share.  The targets are a small table by nature; more than ``max_targets`` rows are an error.
     """
     rows = targets.join(sizes, "source").where("tokens > 0 and target_share > 0 and not isnan(target_share) and coalesce(max_repeats, 1) >= 1").limit(max_targets + 1).collect()
     if len(rows) > max_targets:
@@ -110,18 +100,39 @@ def plan(spark: SparkSession, sizes: DataFrame, targets: DataFrame, slots: int =
     for r in sorted(rows, key=lambda r: (r.mix_name is None, r.mix_name, r.source)):
         mixes.setdefault(r.mix_name, []).append(r)
     out = []
-    for mix, members in mixes.items():
-        if len(members) > slots:
-            raise ValueError(f"mix {mix} has more sources than slots; raise slots")
-        weights = quantize([r.target_share for r in members], slots)
-        caps = [r.max_repeats * r.tokens * slots // w for r, w in zip(members, weights, strict=True) if r.max_repeats is not None]
+    for number, (mix, members) in enumerate(mixes.items()):
+        whole = sum(Fraction(r.target_share) for r in members)
+        share = [Fraction(r.target_share) / whole for r in members]
+        caps = [r.max_repeats * r.tokens / w for r, w in zip(members, share, strict=True) if r.max_repeats is not None]
         total = min(caps) if caps else sum(r.tokens for r in members)
         total = min(total, total_tokens) if total_tokens is not None else total
-        share_sum = sum(r.target_share for r in members)
-        out += [{"mix_name": mix, "source": r.source, "at": i, "slots": w, "target_share": r.target_share / share_sum, "tokens": r.tokens, "quota": total * w // slots, "max_repeats": r.max_repeats} for i, (r, w) in enumerate(zip(members, weights, strict=True))]
+        size = max(block_tokens, -(-int(total) // max_blocks))
+        for i, (r, w) in enumerate(zip(members, share, strict=True)):
+            quota = int(total * w)
+            out.append({"mix": number, "mix_name": mix, "source": r.source, "at": i, "target_share": float(w), "tokens": r.tokens, "quota": quota, "max_repeats": r.max_repeats, "block_tokens": size, "blocks": -(-quota // size)})
     return out
 
 
+PLAN_SCHEMA = "mix int, mix_name string, source string, at int, target_share double, tokens bigint, quota bigint, max_repeats int, block_tokens bigint, blocks bigint"
+
+
+def plan_table(spark: SparkSession, plans: list[dict]) -> DataFrame:
+    names = [c.split()[0] for c in PLAN_SCHEMA.split(", ")]
+    return spark.createDataFrame([tuple(x[c] for c in names) for x in plans], PLAN_SCHEMA)
+
+
+def schedule(spark: SparkSession, plans: list[dict]) -> DataFrame:
+    """(mix, at, block_no, slot): the slot of every block of every mix; one task computes a mix."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        order = pfair_period(pdf["blocks"].tolist())
+        got = pd.DataFrame(order, columns=["i", "block_no"])
+        return pd.DataFrame({"mix": pdf["mix"].iloc[0], "at": pdf["at"].to_numpy()[got["i"].to_numpy(dtype=int)], "block_no": got["block_no"], "slot": range(len(got))})
+
+    return plan_table(spark, plans).groupBy("mix").applyInPandas(run, "mix int, at int, block_no bigint, slot bigint")
+
+
 def stream_positions(counted: DataFrame, id_col: str, seed: int) -> DataFrame:
     """Adds ``start``: the tokens of the document's source before it, in hash order.
 
@@ -140,32 +151,24 @@ def stream_positions(counted: DataFrame, id_col: str, seed: int) -> DataFrame:
     return d.withColumn("start", F.col("base") + F.col("inside")).drop("h", "nb", "bucket", "inside", "base")
 
 
-def draw(spark: SparkSession, counted: DataFrame, plans: list[dict], id_col: str = "doc_id", slots: int = DEFAULT_SLOTS, block_tokens: int = DEFAULT_BLOCK_TOKENS, seed: int = 0) -> DataFrame:
+def draw(spark: SparkSession, counted: DataFrame, plans: list[dict], id_col: str = "doc_id", seed: int = 0) -> DataFrame:
     """(mix_name, source, id, repeat_no, n_tokens, block_no, slot): every drawn document with its block's slot.
 
     A document is drawn while its stream position is below the source's quota, so a source overshoots by less than one
     document.  Ordering by (mix_name, slot, block_no, id) gives the interleaved mix.
     """
-    columns = "mix_name string, source string, at int, slots int, tokens bigint, quota bigint"
-    p = spark.createDataFrame([(x["mix_name"], x["source"], x["at"], x["slots"], x["tokens"], x["quota"]) for x in plans], columns)
-    by_mix: dict[str, list[dict]] = {}
-    for x in plans:
-        by_mix.setdefault(x["mix_name"], []).append(x)
-    table = [(mix, members[s]["source"], k, slot) for mix, members in by_mix.items() for slot, (s, k) in enumerate(pfair_period([m["slots"] for m in members]))]
-    import pandas as pd
-
-    period = spark.createDataFrame(pd.DataFrame(table or [("", "", 0, 0)], columns=["mix_name", "source", "k", "slot_in"]), "mix_name string, source string, k bigint, slot_in bigint")
+    p = plan_table(spark, plans).select("mix", "mix_name", "source", "at", "tokens", "quota", "block_tokens")
     d = stream_positions(counted.where("source is not null"), id_col, seed).join(F.broadcast(p), "source")  # at most max_targets rows
     d = d.where("start < quota").withColumn("repeat_no", F.explode(F.expr("sequence(0L, (quota - start - 1) div tokens)")))
-    d = d.withColumn("block_no", F.expr(f"(start + repeat_no * tokens) div {block_tokens}")).withColumn("k", F.expr("block_no % slots"))
-    d = d.join(period, ["mix_name", "source", "k"]).withColumn("slot", F.expr(f"(block_no div slots) * {slots} + slot_in"))
+    d = d.withColumn("block_no", F.expr("(start + repeat_no * tokens) div block_tokens"))
+    d = d.join(schedule(spark, plans), ["mix", "at", "block_no"])
     return d.select("mix_name", "source", id_col, F.col("repeat_no").cast("int"), "n_tokens", "block_no", "slot")
 
 
 def shares(drawn: DataFrame, spark: SparkSession, plans: list[dict]) -> DataFrame:
     """(mix_name, source, target_share, max_repeats, n_docs, n_tokens, reached_share, repeats): what the draw reached."""
     got = drawn.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), (F.max("repeat_no") + 1).alias("repeats"))
-    p = spark.createDataFrame([(x["mix_name"], x["source"], x["target_share"], x["max_repeats"]) for x in plans], "mix_name string, source string, target_share double, max_repeats int")
+    p = plan_table(spark, plans).select("mix_name", "source", "target_share", "max_repeats")
     total = Window.partitionBy("mix_name")  # one row a source
     out = p.join(got, ["mix_name", "source"], "left").withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0)))
     return out.select("mix_name", "source", "target_share", "max_repeats", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "n_tokens", (F.col("n_tokens") / F.sum("n_tokens").over(total)).alias("reached_share"), F.coalesce("repeats", F.lit(0)).alias("repeats"))

@@ -101,7 +101,7 @@ def _narrow(frames: list[DataFrame], open_: DataFrame, groups: list[str], fanout
     return both.select(*(F.col(f"o.{g}").alias(g) for g in groups), "n_rows", (F.col("below") + F.col("upto") - F.col("n")).alias("below"), "lo", "hi", "percentile", "rank")
 
 
-def percentiles(frames: list[DataFrame], groups: list[str], wanted: list[float], fanout: int = 1024, max_error: float = 0.0, max_passes: int = 80) -> DataFrame:
+def percentiles(frames: list[DataFrame], groups: list[str], wanted: list[float], fanout: int = 1024, max_error: float = 0.0) -> DataFrame:
     """(groups..., percentile, n_rows, value, max_error) of the rows of all ``frames`` together.
 
     ``frames`` are outputs of ``long_values`` (``groups`` then includes column_name), one for each load that is
@@ -114,12 +114,9 @@ def percentiles(frames: list[DataFrame], groups: list[str], wanted: list[float],
     undecided = (F.col("hi") > F.col("lo")) & (F.col("hi") - F.col("lo") > F.lit(float(max_error)))
     done = [state.where(~undecided)]
     open_ = state.where(undecided)
-    for _ in range(max_passes):
-        if not open_.limit(1).count():
-            break
+    while open_.limit(1).count():  # both ends of an interval fall into different parts, so every pass narrows it
         state = materialize(_narrow(frames, open_, groups, fanout), "intervals")
         done.append(state.where(~undecided))
         open_ = state.where(undecided)
-    done.append(open_)
     out = reduce(DataFrame.unionByName, done)
     return out.select(*groups, "percentile", "n_rows", F.col("lo").alias("value"), F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(0.0)).alias("max_error"))

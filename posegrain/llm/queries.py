@@ -97,8 +97,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of same-looking texts of every document."""
-    return skeleton.classes(_prints(spark, sf_dir))
+    """The class of same-looking texts of every document, with its size and the document's number of links."""
+    return skeleton.classes(materialize(_prints(spark, sf_dir), "looks"))
 
 
 def p9_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +131,31 @@ g as (select lower(trim(dataset, ' \t\r\n')) as dataset, lower(trim(model_name,
 select {} from (select *, row_number() over (partition by dataset, model_name order by delta_oks desc, image_id, packet_id) as rank from g) where rank <= 3
 """
 
+_LOOK = skeleton.sql_look("text")
+
+_P7_FOUND = f"""
+with i as (select item_id, regexp_extract_all(lower({_LOOK}), '[\\p{{L}}\\p{{N}}]+') as w from eval_item where text is not null),
+d as (select doc_id, regexp_extract_all(lower({_LOOK}), '[\\p{{L}}\\p{{N}}]+') as w from documents where text is not null),
+s as (select distinct least(12, len(w)) as n from i where len(w) > 0),
+ig as (select item_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select item_id, w, least(12, len(w)) as n, unnest(range(1, len(w) - least(12, len(w)) + 2)) as k from i where len(w) > 0)),
+dg as (select doc_id, n, array_to_string(w[k:k + n - 1], ' ') as g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from d, s where len(w) >= n))
+select distinct item_id, doc_id from ig join dg using (n, g)
+"""
+
+_P9_CLASSES = f"""
+with d as (select doc_id, text, {_LOOK} as look from documents where text is not null)
+select doc_id, min(doc_id) over c as class_id, count(*) over c as n_documents, (select count(distinct e.text) from d e where e.look = d.look) as n_spellings, count(*) over c - count(*) over (partition by look, text) as n_links from d window c as (partition by look)
+"""
+
+_P9_FOUND = f"""
+with d as (select doc_id, text, {_LOOK} as look from documents where text is not null)
+select a.doc_id as doc_id_a, b.doc_id as doc_id_b from d a join d b on a.look = b.look and a.doc_id < b.doc_id and a.text <> b.text
+"""
+
 SQL = {
+    "p7_found": _P7_FOUND,
+    "p9_found": _P9_FOUND,
+    "p9_classes": _P9_CLASSES,
     "p1_percentiles": _p1("dataset_name, model_arch, level, period, column_name", f"with b as ({_P1_ROWS}) {_P1_LEVELS}"),
     "p1_combined": _p1("dataset_name, model_arch, column_name", _P1_ROWS),
     "p3_found": _P3.format("packet_id"),

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -57,6 +56,24 @@ def prototypes() -> dict[int, str]:
     return table
 
 
+def sql_look(text: str) -> str:
+    """The same form as an SQL expression: composed instead of decomposed letters, every character by its prototype.
+
+    Made from the table alone, for engines that can compose (nfc_normalize) and translate.  Characters whose prototype has
+    several characters stay.
+    """
+    one, gone = {}, []
+    for cp in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= cp < 0xE000:
+            look = unicodedata.normalize("NFC", skeleton(chr(cp)))
+            if not look:
+                gone.append(chr(cp))
+            elif len(look) == 1 and look != chr(cp):
+                one[chr(cp)] = look
+    quoted = lambda x: "'" + "".join(x).replace("'", "''") + "'"
+    return f"nfc_normalize(translate(nfc_normalize({text}), {quoted([*one, *gone])}, {quoted(one.values())}))"
+
+
 def skeleton(text: str) -> str:
     """The consistent form of one text.  ASCII texts are their own skeleton."""
     if text.isascii():
@@ -65,6 +82,10 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFD", replaced)
 
 
+#: ASCII texts have as many bytes as characters; they are their own skeleton and stay in the JVM.
+_ASCII = "octet_length({0}) = char_length({0})"
+
+
 def with_skeleton(docs: DataFrame, text: str = "text", out: str = "skeleton") -> DataFrame:
     """All columns of ``docs`` and the skeleton of ``text`` (null for null, empty for empty)."""
 
@@ -72,7 +93,8 @@ def with_skeleton(docs: DataFrame, text: str = "text", out: str = "skeleton") ->
     def run(s: pa.Array) -> pa.Array:
         return pa.array([None if t is None else skeleton(t) for t in s.to_pylist()], pa.string())
 
-    return docs.withColumn(out, run(F.col(text)))
+    plain = F.expr(_ASCII.format(f"`{text}`"))
+    return docs.withColumn(out, F.when(plain, F.col(text)).otherwise(run(F.when(~plain, F.col(text)))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,41 +102,41 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
     Only the digests are shuffled later, never the texts.
     """
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        def digest(s: str) -> bytes:
-            return xxhash.xxh3_128_digest(s.encode("utf-8", "surrogatepass"))
-
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            stored = [digest(t) for t in texts]
-            look = [d if t.isascii() else digest(skeleton(t)) for t, d in zip(texts, stored, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(look, pa.binary()), pa.array(stored, pa.binary())], names=[id_col, "look", "stored"])
-
-    return docs.select(id_col, F.col(text).cast("string").alias("t")).where("t is not null").mapInArrow(run, f"{id_col} {kind}, look binary, stored binary")
+    d = with_skeleton(docs.select(F.col(id_col), F.col(text).cast("string").alias("_t")).where("_t is not null"), "_t", "_s")
+    digest = lambda c: F.unhex(F.substring(F.sha2(F.col(c), 256), 1, 32))
+    d = d.select(id_col, "_t", "_s", digest("_t").alias("stored"))
+    return d.select(id_col, F.when(F.expr(_ASCII.format("_t")), F.col("stored")).otherwise(digest("_s")).alias("look"), "stored")
 
 
 def classes(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row a document: its class of same-looking texts (``class_id``).  Needs no shuffle: the digest is the class."""
-    return prints.select(id_col, F.lower(F.hex("look")).alias("class_id"))
+    """One row a document: class_id (the smallest id of the texts that look the same), n_documents and n_spellings of the
+    class, n_links (documents of the class that are stored otherwise).
+
+    Copies are counted before anything is shuffled (one row a stored text and task), classes are made of stored texts, and
+    documents only look up their text's row, so a class of any size costs no more than its rows.
+    """
+    texts = prints.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first"))
+    whole = texts.groupBy("look").agg(F.sum("n").alias("n_documents"), F.count(F.lit(1)).alias("n_spellings"), F.min("first").alias("class_id"))
+    texts = texts.select("look", "stored", "n").join(whole, "look").select("look", "stored", "class_id", "n_documents", "n_spellings", (F.col("n_documents") - F.col("n")).alias("n_links"))
+    return prints.join(texts, ["look", "stored"]).select(id_col, "class_id", "n_documents", "n_spellings", "n_links")
 
 
-def same_look_pairs(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_a, id_b), id_a < id_b: documents that differ as stored and look the same.
+def same_look_pairs(prints: DataFrame, id_col: str = "doc_id", salts: int = 8) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: documents that differ as stored and look the same.  ``classes`` is the form without pairs.
 
     Copies are counted first (one row a stored text and task), then only classes with two or more stored texts
     go on.  Pairs are made between stored texts, and documents join them by text, so documents of the same stored
-    text are never compared with each other; the output holds exactly the pairs asked for.
+    text are never compared with each other; the output holds exactly the pairs asked for.  A text that very many
+    documents share is spread: one side of a pair over ``salts`` tasks, the other side goes to each of them.
     """
     variants = prints.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
     mixed = variants.groupBy("look").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo <> hi").select("look")
     docs = prints.join(mixed, "look", "left_semi")
     texts = docs.select("look", "stored").distinct()
     links = texts.withColumnRenamed("stored", "stored_a").join(texts.withColumnRenamed("stored", "stored_b"), "look").where("stored_a < stored_b")
-    a = docs.select(F.col("look"), F.col("stored").alias("stored_a"), F.col(id_col).alias("x"))
-    b = docs.select(F.col("look"), F.col("stored").alias("stored_b"), F.col(id_col).alias("y"))
-    pairs = links.join(a, ["look", "stored_a"]).join(b, ["look", "stored_b"])
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    links = links.select("*", every.alias("_salt"))
+    a = docs.select(F.col("look"), F.col("stored").alias("stored_a"), F.col(id_col).alias("x"), F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int").alias("_salt"))
+    b = docs.select(F.col("look"), F.col("stored").alias("stored_b"), F.col(id_col).alias("y"), every.alias("_salt"))
+    pairs = links.join(a, ["look", "stored_a", "_salt"]).join(b, ["look", "stored_b", "_salt"])
     return pairs.select(F.least("x", "y").alias(f"{id_col}_a"), F.greatest("x", "y").alias(f"{id_col}_b")).where(f"{id_col}_a < {id_col}_b")

@@ -1,10 +1,11 @@
 """Top N of every group by a loser-tree merge of stored sorted runs.
 
-Every task sorts its rows by bucket, group and rank order and stores them as a run, cut into buckets of groups
-(no shuffle: a run holds whatever rows its task had).  A task per bucket then opens the bucket's runs, merges them
-with a loser tree and, once a group has its N rows, seeks to the next group: row groups of the stored run that
-hold nothing but finished groups are skipped by their statistics, rows of a batch by vectorised cuts.  The merge
-holds one batch a run in memory, however large a group is, and no group is ever gathered in one task.
+Every task sorts its rows by bucket (a hash of the group), group and rank order and stores them as one run (no shuffle:
+a run holds whatever rows its task had).  Runs are merged with a loser tree, at most
+``FAN_IN`` at once: while there are more, each task merges that many into one run.  The last pass has a task per bucket,
+which opens each run at its bucket.  Once a group has its N rows, the merge seeks to the next group: row groups of a
+stored run that hold nothing but finished groups are skipped by their statistics, rows of a batch by vectorised cuts.
+A merge holds one batch a run in memory, however large a group is, and no group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from posegrain.session import shared_path
+from posegrain.session import open_shared, shared_path
 
-#: Columns of a stored run: groups g0, g1, ..., the negated score, tie columns.
+#: Columns of a stored run: bucket, groups g0, g1, ..., the negated score, tie columns, payload.
 ROW_GROUP_BYTES = 4 << 20
+#: Runs that a task merges at once.
+FAN_IN = 64
 
 
 class LoserTree:
@@ -63,45 +66,39 @@ class LoserTree:
         return got
 
 
-def write_runs(df: DataFrame, groups: list[str], score: str, ties: list[str], payload: list[str], n_buckets: int) -> tuple[str, dict[int, list[str]]]:
-    """Store sorted runs; returns their folder and the files of each bucket.  Rows must have no null in groups, score and ties."""
-    spark = df.sparkSession
-    path = shared_path(spark, "runs")
-    order = [F.col("bucket"), *(F.col(g) for g in groups), F.col("neg_score"), *(F.col(t) for t in ties)]
-    runs = df.select(F.pmod(F.xxhash64(*groups), F.lit(n_buckets)).cast("int").alias("bucket"), *groups, (-F.col(score)).alias("neg_score"), *ties, *(p for p in payload if p not in ties and p not in groups))
-    runs.sortWithinPartitions(*order).write.partitionBy("bucket").option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").parquet(path)
-    files: dict[int, list[str]] = {}
-    for f in spark.read.parquet(path).inputFiles() if _has_files(spark, path) else []:
-        files.setdefault(int(f.rsplit("bucket=", 1)[1].split("/", 1)[0]), []).append(f)
-    return path, files
-
-
-def _has_files(spark, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    return any(s.isDirectory() for s in p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p))
+def _stored(runs: DataFrame) -> list[str]:
+    """Write one run a partition, in its order; returns the runs' files."""
+    path = shared_path(runs.sparkSession, "runs")
+    runs.write.option("parquet.block.size", ROW_GROUP_BYTES).option("compression", "zstd").parquet(path)
+    return sorted(runs.sparkSession.read.schema(runs.schema).parquet(path).inputFiles())
 
 
-def _cursor(uri: str, columns: list[str], n_groups: int, n_key: int, n: int, finished: Callable[[], tuple | None], batch_rows: int) -> Iterator[tuple]:
-    """Rows of a stored run in order, at most n of each group, without those of groups that are finished."""
+def _cursor(uri: str, columns: list[str], n_groups: int, n_key: int, n: int, bucket: int | None, finished: Callable[[], tuple | None], batch_rows: int) -> Iterator[tuple]:
+    """Rows of a stored run in order (of one bucket, if given), at most n of each group, without those of groups that are finished."""
     import numpy as np
     import pyarrow.parquet as pq
-    from pyarrow import fs
-    from urllib.parse import unquote
 
-    where, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), unquote(uri.removeprefix("file:")))
-    with pq.ParquetFile(where.open_input_file(path)) as run:
+    with pq.ParquetFile(open_shared(uri)) as run:
         at = [run.schema_arrow.get_field_index(c) for c in columns[:n_groups]]
         last, taken = None, 0
         for rg in range(run.num_row_groups):
+            stats = [run.metadata.row_group(rg).column(i).statistics for i in at]
+            if bucket is not None and stats[0] is not None and stats[0].has_min_max:
+                if stats[0].max < bucket:
+                    continue
+                if stats[0].min > bucket:
+                    break
             done = finished()
-            if done is not None:
-                stats = [run.metadata.row_group(rg).column(i).statistics for i in at]
-                if all(s is not None and s.has_min_max and s.min == s.max for s in stats) and tuple(s.max for s in stats) <= done:
-                    continue  # one finished group fills this row group
+            if done is not None and all(s is not None and s.has_min_max and s.min == s.max for s in stats) and tuple(s.max for s in stats) <= done:
+                continue  # one finished group fills this row group
             for batch in run.iter_batches(batch_rows, row_groups=[rg], columns=columns):
-                keys = [batch.column(i) for i in range(n_groups)]
+                if bucket is not None:
+                    own = np.flatnonzero(batch.column(0).to_numpy() == bucket)
+                    batch = batch.slice(own[0], len(own)) if len(own) else batch.slice(0, 0)
                 size = len(batch)
+                if not size:
+                    continue
+                keys = [batch.column(i) for i in range(n_groups)]
                 change = np.zeros(size, bool)
                 change[0] = True
                 for k in keys:
@@ -122,20 +119,24 @@ def _cursor(uri: str, columns: list[str], n_groups: int, n_key: int, n: int, fin
                         yield row[:n_key], row[n_key:]
 
 
-def merge_runs(spark, files: dict[int, list[str]], columns: list[str], schema: str, n_groups: int, n_key: int, n: int, n_buckets: int, batch_rows: int = 4096) -> DataFrame:
-    """One task a bucket: loser-tree merge of its runs, first ``n`` rows of each group, with their rank."""
-    shared = spark.sparkContext.broadcast(files)  # names of files only: at most runs x buckets
-    names = [*columns, "rank"]
+def merge(spark: SparkSession, jobs: list[tuple[list[str], int | None]], schema: str, n_groups: int, n_key: int, n: int, batch_rows: int = 4096) -> DataFrame:
+    """One task a job (runs, bucket or None for all): loser-tree merge, first ``n`` rows of each group in order, with their rank."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    shared = spark.sparkContext.broadcast(jobs)  # names of files: FAN_IN a job
+    arrow = to_arrow_schema(_parse_datatype_string(f"{schema}, rank bigint"))
+    names = arrow.names
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_schema = None
         for batch in batches:
-            for bucket in batch.column(0).to_pylist():
-                uris = shared.value.get(bucket, [])
-                if not uris:
-                    continue
+            for number in batch.column(0).to_pylist():
+                uris, bucket = shared.value[number]
                 state: dict[str, Any] = {"done": None}
-                tree = LoserTree([_cursor(u, columns, n_groups, n_key, n, lambda: state["done"], batch_rows) for u in uris])
+                tree = LoserTree([_cursor(u, names[:-1], n_groups, n_key, n, bucket, lambda: state["done"], batch_rows) for u in uris])  # noqa: B023
                 group, count, rows = None, 0, []
                 while (pair := tree.pop()) is not None:
                     row = pair[0] + pair[1]
@@ -148,19 +149,15 @@ def merge_runs(spark, files: dict[int, list[str]], columns: list[str], schema: s
                         if count == n:
                             state["done"] = g  # every cursor seeks behind this group
                     if len(rows) >= 8192:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=out_schema or arrow)
+                        yield table(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=out_schema or arrow)
+                    yield table(rows)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(f"{schema}, rank bigint"))
-    return spark.range(0, n_buckets, 1, n_buckets).mapInArrow(run, f"{schema}, rank bigint")
+    return spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, f"{schema}, rank bigint")
 
 
-def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int, payload: list[str] | None = None, n_buckets: int | None = None) -> DataFrame:
+def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int, payload: list[str] | None = None, n_buckets: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """(groups..., score, ties..., payload..., rank): the ``n`` rows of each group with the highest score, equal ones by ascending ties.
 
     Rows with a null group, score or tie, or a NaN score, are left out.  Rows equal in score and all ties are both kept,
@@ -169,16 +166,18 @@ def top_n(df: DataFrame, groups: list[str], score: str, ties: list[str], n: int,
     """
     spark = df.sparkSession
     payload = [p for p in payload or [] if p not in groups and p not in ties and p != score]
-    n_buckets = n_buckets or max(1, min(256, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    inner = [f"g{i}" for i in range(len(groups))]
+    n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inner = ["bucket", *(f"g{i}" for i in range(len(groups)))]
     tied = [f"t{i}" for i in range(len(ties))]
     paid = [f"p{i}" for i in range(len(payload))]
-    d = df.select(*(F.col(a).alias(b) for a, b in zip([*groups, *ties, *payload], [*inner, *tied, *paid], strict=True)), F.col(score).cast("double").alias("s"))
-    d = d.where(F.expr(" and ".join(f"{c} is not null" for c in [*inner, *tied, "s"]) + " and not isnan(s)"))
-    _, files = write_runs(d, inner, "s", tied, paid, n_buckets)
-    types = dict(d.dtypes)
-    columns = [*inner, "neg_score", *tied, *paid]
-    schema = ", ".join(f"{c} {types[c] if c != 'neg_score' else 'double'}" for c in columns)
-    got = merge_runs(spark, files, columns, schema, len(groups), len(groups) + 1 + len(ties), n, n_buckets)
-    named = dict(zip([*inner, *tied, *paid], [*groups, *ties, *payload], strict=True))
-    return got.select(*(F.col(g).alias(named[g]) for g in inner), (-F.col("neg_score") + F.lit(0.0)).alias(score), *(F.col(c).alias(named[c]) for c in [*tied, *paid]), "rank")
+    d = df.select(*(F.col(a).alias(b) for a, b in zip([*groups, *ties, *payload], [*inner[1:], *tied, *paid], strict=True)), F.col(score).cast("double").alias("s"))
+    d = d.where(F.expr(" and ".join(f"{c} is not null" for c in [*inner[1:], *tied, "s"]) + " and not isnan(s)"))
+    d = d.select(F.pmod(F.xxhash64(*inner[1:]), F.lit(n_buckets)).cast("int").alias("bucket"), *inner[1:], (-F.col("s")).alias("neg_score"), *tied, *paid)
+    schema = ", ".join(f"{c} {t}" for c, t in d.dtypes)
+    n_key = len(inner) + 1 + len(ties)
+    files = _stored(d.sortWithinPartitions(*d.columns[:n_key]))
+    while len(files) > fan_in:
+        files = _stored(merge(spark, [(files[i : i + fan_in], None) for i in range(0, len(files), fan_in)], schema, len(inner), n_key, n).drop("rank"))
+    got = merge(spark, [(files, b) for b in range(n_buckets)], schema, len(inner), n_key, n)
+    named = dict(zip([*inner[1:], *tied, *paid], [*groups, *ties, *payload], strict=True))
+    return got.select(*(F.col(g).alias(named[g]) for g in inner[1:]), (-F.col("neg_score") + F.lit(0.0)).alias(score), *(F.col(c).alias(named[c]) for c in [*tied, *paid]), "rank")

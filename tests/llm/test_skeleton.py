@@ -33,8 +33,20 @@ def test_pairs_against_all_pairs(spark):
     got = sorted(tuple(r) for r in K.same_look_pairs(K.fingerprints(docs)).collect())
     want = sorted((i, j) for (i, a), (j, b) in itertools.combinations(enumerate(texts), 2) if a is not None and b is not None and a != b and K.skeleton(a) == K.skeleton(b))
     assert got == want and len(got) == 7
-    classes = {r.doc_id: r.class_id for r in K.classes(K.fingerprints(docs)).collect()}
-    assert len(classes) == len(texts) - 1 and classes[0] == classes[1] == classes[3] != classes[4] and classes[6] == classes[7]
+    got = {r.doc_id: r for r in K.classes(K.fingerprints(docs)).collect()}
+    assert len(got) == len(texts) - 1
+    for i, r in got.items():
+        look = [j for j, t in enumerate(texts) if t is not None and K.skeleton(t) == K.skeleton(texts[i])]
+        assert (r.class_id, r.n_documents, r.n_spellings) == (min(look), len(look), len({texts[j] for j in look}))
+        assert r.n_links == sum(texts[j] != texts[i] for j in look) == sum(i in p for p in want)
+
+
+def test_hot_classes(spark):
+    """Two spellings that hundreds of documents share, in a table with a third of all rows the same."""
+    texts = ["scope"] * 300 + ["ѕсоре"] * 3 + [f"t{i}" for i in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert K.same_look_pairs(K.fingerprints(docs)).count() == 900
+    assert {r.n_links for r in K.classes(K.fingerprints(docs)).where("n_spellings = 2").collect()} == {3, 300}
 
 
 def test_empty_and_texts(spark):

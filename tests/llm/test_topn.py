@@ -29,6 +29,14 @@ def test_against_sorting(spark):
         assert top(spark, rows, n) == brute(rows, n)
 
 
+def test_more_runs_than_are_merged_at_once(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("abcdef"), "h", rng.choice([0.5, rng.random()]), i, i) for i in range(3000)]
+    d = frame(spark, rows).repartition(11)
+    got = T.top_n(d, ["a", "b"], "s", ["t", "u"], 4, n_buckets=5, fan_in=2)
+    assert sorted((r.a, r.b, r.s, r.t, r.u) for r in got.collect()) == brute(rows, 4)
+
+
 def test_large_groups_seek(spark, monkeypatch):
     monkeypatch.setattr(T, "ROW_GROUP_BYTES", 4096)
     rows = [("hot", "h", float(i * 7919 % 100003), i, i) for i in range(40000)] + [("z", "h", 1.0, 1, 1)]
