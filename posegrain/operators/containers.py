@@ -12,7 +12,9 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from posegrain.session import materialize
 
 ENTRY = "struct<file_no:bigint,path:string,offset:bigint,length:bigint,crc:bigint>"
 BLOCK_SCHEMA = f"block_id string, n_files bigint, n_bytes bigint, entries array<{ENTRY}>, data binary"
@@ -39,6 +41,15 @@ def _emit(block_id: str, parts: list[bytes], entries: list[dict]) -> pa.RecordBa
     )
 
 
+def files_below(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(file_no, file_path, n_bytes, modified_at, content binary): the real files below a folder, one row each.
+
+    ``file_no`` is a hash of the path, so it needs no order; listing and reading are spread over the tasks.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    return found.select(F.xxhash64("path").alias("file_no"), F.col("path").alias("file_path"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified_at"), "content")
+
+
 def pack(files: DataFrame, id_col: str = "file_no", path_col: str = "file_path", content_col: str = "content", block_bytes: int = DEFAULT_BLOCK_BYTES, max_files: int = 100_000) -> DataFrame:
     """Files as rows -> blocks of about ``block_bytes`` bytes or ``max_files`` files.
 
@@ -98,15 +109,29 @@ def unpack(blocks: DataFrame, verify: bool = True) -> DataFrame:
     return blocks.select("block_id", "entries", "data").mapInArrow(run, "block_id string, file_no bigint, path string, content binary")
 
 
+def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """Store blocks with every block a row group of its own, and read them back: a filter on block_id then skips the others' bytes."""
+    blocks.write.option("parquet.block.size", 1 << 20).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).option("compression", "zstd").parquet(path)
+    return blocks.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
+
+
 def index(blocks: DataFrame) -> DataFrame:
     """(block_id, file_no, path, offset, length, crc) without touching the blocks' bytes (column pruning)."""
     return blocks.select("block_id", F.inline("entries"))
 
 
-def lookup(blocks: DataFrame, wanted: DataFrame, on: str = "path") -> DataFrame:
-    """The files named in ``wanted[on]``, cut out of their blocks by offset: index join first, bytes last."""
-    found = index(blocks).join(wanted.select(on).distinct(), on, "left_semi")
-    return found.join(blocks.select("block_id", "data"), "block_id").select("block_id", "file_no", "path", F.expr("if(length is null, null, substring(data, cast(offset + 1 as int), cast(length as int)))").alias("content"))
+def lookup(blocks: DataFrame, wanted: DataFrame, on: str = "path", few: int = 1_000) -> DataFrame:
+    """The files named in ``wanted[on]``, cut out of their blocks by offset: index join first, bytes last.
+
+    Up to ``few`` blocks are named in the scan's filter, so that stored blocks are read only where the row group's block_ids
+    may be among them (``write_blocks`` makes a block a row group); more are joined, and the scan reads all bytes.
+    """
+    found = materialize(index(blocks).join(wanted.select(on).distinct(), on, "left_semi"), "found-entries")
+    ids = [r[0] for r in found.select("block_id").distinct().limit(few + 1).collect()]
+    held = blocks.select("block_id", "data")
+    if len(ids) <= few:
+        held = held.where(F.col("block_id").isin(ids))
+    return found.join(held, "block_id").select("block_id", "file_no", "path", F.expr("if(length is null, null, substring(data, cast(offset + 1 as int), cast(length as int)))").alias("content"))
 
 
 def json_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
@@ -125,14 +150,15 @@ def json_lines(files: DataFrame, content_col: str = "content") -> DataFrame:
 def packet_records(files: DataFrame) -> DataFrame:
     """(file_no, line_no, image_id bigint, base_name, dataset, model_name, ts, oks_ours): the records of JSON-lines files.
 
-    image_id may stand as number or string; base_name is what follows the last / or \\ of file_name.  Records
+    image_id may stand as number or string, with a point only if it is whole; base_name is what follows the last / or \\ of file_name.  Records
     without one of the two are left out, for they cannot be known again.
     """
     text = lambda name: f"try_variant_get(record, '$.{name}', 'string')"
+    decimal = f"try_cast(trim({text('image_id')}) as decimal(38,6))"
     out = json_lines(files).select(
         "file_no",
         "line_no",
-        F.expr(f"coalesce(try_cast(trim({text('image_id')}) as bigint), try_cast(try_cast(trim({text('image_id')}) as decimal(38,6)) as bigint))").alias("image_id"),
+        F.expr(f"coalesce(try_cast(trim({text('image_id')}) as bigint), if({decimal} = floor({decimal}), try_cast({decimal} as bigint), null))").alias("image_id"),
         F.regexp_extract(F.expr(text("file_name")), r"([^/\\]*)\z", 1).alias("base_name"),
         F.expr(text("dataset")).alias("dataset"),
         F.expr(text("model_name")).alias("model_name"),

@@ -108,9 +108,11 @@ def drift(ingested: DataFrame, keys: tuple[str, ...] = ("image_id", "kp_idx")) -
     seq = materialize(file_sequence(ingested.select("producer", "file_id", "exported_at")), "file-sequence")
     nxt = seq.where("prev_file_id is not null").select("producer", F.col("prev_file_id").alias("file_id"), F.col("file_id").alias("next_file_id"))
     # a key's neighbours among the files of its producer; one shuffle, spread over the keys
-    w = Window.partitionBy("producer", *keys).orderBy("exported_at", "file_id", "line_no")
+    # rows without a whole key have no neighbours; a random number keeps them from meeting in one task
     known = " and ".join(f"{k} is not null" for k in keys)
-    rows = ingested.select("producer", "file_id", *keys, "_seen", F.when(F.expr(known), F.lag("file_id").over(w)).alias("lag_file"), F.when(F.expr(known), F.lead("file_id").over(w)).alias("lead_file"))
+    w = Window.partitionBy("producer", *keys, "_lone").orderBy("exported_at", "file_id", "line_no")
+    rows = ingested.select("producer", "file_id", "exported_at", "line_no", *keys, "_seen", F.when(~F.expr(known), F.xxhash64("file_id", "line_no")).alias("_lone"))
+    rows = rows.select("producer", "file_id", *keys, "_seen", F.when(F.expr(known), F.lag("file_id").over(w)).alias("lag_file"), F.when(F.expr(known), F.lead("file_id").over(w)).alias("lead_file"))
     cells = rows.select("producer", "file_id", *keys, "lag_file", "lead_file", F.explode("_seen").alias("name", "cell")).where(~F.col("name").isin(list(keys)))
     number = F.expr("try_cast(cell.text as double)")
     plain = F.when(number.isNotNull(), (number + F.lit(0.0)).cast("string")).otherwise(F.concat(F.lit("text:"), F.col("cell.text")))

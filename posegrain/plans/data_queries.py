@@ -110,7 +110,7 @@ def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(containers.pack(table(spark, sf_dir, "packet_file")), "blocks")
+    return containers.write_blocks(containers.pack(table(spark, sf_dir, "packet_file")), shared_path(spark, "blocks"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -169,4 +169,15 @@ _P6_RECORDS = r"""
 
 _P6_FOUND = f"select image_id, base_name from ({_P6_RECORDS}) where image_id is not null and base_name is not null group by all having count(distinct file_no) > 1"
 
-SQL = {"p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p6_found": _P6_FOUND}
+_P6_UNIQUE = r"""
+with l as (select file_no, unnest(string_split_regex(content, '\r?\n')) as line, generate_subscripts(string_split_regex(content, '\r?\n'), 1) as line_no from packet_file),
+r as (select file_no, line_no, try_cast(json_extract_string(line, '$.image_id') as bigint) as image_id, regexp_extract(json_extract_string(line, '$.file_name'), '[^/\\]*$') as base_name,
+ json_extract_string(line, '$.dataset') as dataset, json_extract_string(line, '$.model_name') as model_name, json_extract_string(line, '$.timestamp') as ts, try_cast(json_extract_string(line, '$.oks_ours') as double) as oks_ours
+ from l where json_valid(line) and json_type(line) = 'OBJECT')
+select image_id, base_name, file_no, line_no, dataset, model_name, ts, oks_ours, n_seen from (select *, count(*) over (partition by image_id, base_name) as n_seen,
+ row_number() over (partition by image_id, base_name order by coalesce(ts, '') desc, file_no, line_no) as k from r where image_id is not null and base_name is not null) where k = 1
+"""
+
+_P6_INDEX = "select file_no, file_path as path, strlen(content)::bigint as length from packet_file"
+
+SQL = {"p6_records": _P6_UNIQUE, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p6_found": _P6_FOUND}
