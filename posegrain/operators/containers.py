@@ -32,8 +32,12 @@ def _spans(batch: pa.RecordBatch, at: int) -> tuple[memoryview, list[int]]:
     return memoryview(data if data is not None else b""), offs.tolist()
 
 
-def _emit(block_id: str, parts: list[bytes], entries: list[dict]) -> pa.RecordBatch:
+def _emit(place: str, parts: list[bytes], entries: list[dict]) -> pa.RecordBatch:
+    """One block.  Its id is its place in the run and a digest of its entries: places alone repeat where a task runs several partitions."""
+    import xxhash
+
     data = b"".join(parts)
+    block_id = f"{place}-{xxhash.xxh3_128_hexdigest(repr([tuple(e.values()) for e in entries]).encode('utf-8', 'surrogatepass'))}"
     entry_type = pa.struct([("file_no", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
     return pa.RecordBatch.from_arrays(
         [pa.array([block_id]), pa.array([len(entries)], pa.int64()), pa.array([len(data)], pa.int64()), pa.array([entries], pa.list_(entry_type)), pa.array([data], pa.binary())],
@@ -111,7 +115,7 @@ def unpack(blocks: DataFrame, verify: bool = True) -> DataFrame:
 
 def write_blocks(blocks: DataFrame, path: str) -> DataFrame:
     """Store blocks with every block a row group of its own, and read them back: a filter on block_id then skips the others' bytes."""
-    blocks.write.option("parquet.block.size", 1 << 20).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).option("compression", "zstd").parquet(path)
+    blocks.write.option("parquet.block.row.count.limit", 1).option("compression", "zstd").parquet(path)
     return blocks.sparkSession.read.schema(BLOCK_SCHEMA).parquet(path)
 
 

@@ -65,11 +65,21 @@ def _candidates_of() -> str:
     return f"named_struct('kp_idx', r.kp_idx, 'means', {means}, 'covariances', {covs}, 'weights', {weights})"
 
 
+_BOX = "named_struct('x', get({0}, {1}), 'y', get({0}, {1} + 1), 'w', get({0}, {1} + 2), 'h', get({0}, {1} + 3))"
+#: The other lists of a packet: boxes of the ground truth (one flat list, four numbers a box, or a list of lists), augmentations
+#: with their parameters, entries of the configuration by section (a section that is no object has one entry without a name).
+_OTHER_LISTS = {
+    "boxes": f"case when {_SOME.format('b_flat')} then transform(sequence(0, cast(ceil(size(b_flat) / 4) as int) - 1), i -> {_BOX.format('b_flat', '4 * i')}) when {_SOME.format('b_lists')} then transform(b_lists, e -> if(e is null, null, {_BOX.format('e', '0')})) end",
+    "tta": "transform(t, e -> if(e is null, null, named_struct('aug_id', e.aug_id, 'label', e.label, 'params', coalesce(transform(map_entries(e.params), p -> named_struct('name', p.key, 'value', p.value)), array()))))",
+    "config": "flatten(transform(map_entries(c), s -> coalesce(transform(map_entries(try_variant_get(s.value, '$', 'map<string,variant>')), p -> named_struct('section', s.key, 'name', p.key, 'value', try_variant_get(p.value, '$', 'string'))), array(named_struct('section', s.key, 'name', cast(null as string), 'value', try_variant_get(s.value, '$', 'string'))))))",
+}
+
+
 def normalize(raw: DataFrame, body: str = "body") -> DataFrame:
     """Packets with one nested type, whatever form their parts had.
 
-    Columns: packet_id, loaded_at, meta fields, predictions (the present and not-null branches with score and
-    joints), unary (the listed potentials).  A body that is no JSON gives a packet without parts; a null or
+    Columns: packet_id, loaded_at, meta fields and metrics, boxes, tta and config (see ``_OTHER_LISTS``), predictions (the
+    present and not-null branches with score and joints), unary (the listed potentials).  A body that is no JSON gives a packet without parts; a null or
     missing part gives an empty array.  The readings are columns of their own projection, so that each is
     evaluated once a row and not once an element.
     """
@@ -92,16 +102,21 @@ def normalize(raw: DataFrame, body: str = "body") -> DataFrame:
         text("$.meta.timestamp").alias("run_ts"),
         text("$.ground_truth.area", "double").alias("area"),
         text("$.metrics.oks_base", "double").alias("oks_base"),
+        text("$.metrics.swaps_base", "int").alias("swaps_base"),
         *(F.expr(f"variant_get(v, '$.predictions.{b}') is not null and not is_variant_null(variant_get(v, '$.predictions.{b}'))").alias(f"{b}_there") for b in BRANCHES),
         *(text(f"$.predictions.{b}.score", "double").alias(f"{b}_score") for b in BRANCHES),
         *(text(f"$.predictions.{b}.coords", kind).alias(f"{b}_{k}") for b in BRANCHES for k, kind in kinds.items()),
         F.expr(f"coalesce({listed}, {keyed})").alias("u"),
+        text("$.ground_truth.bboxes", "array<double>").alias("b_flat"),
+        text("$.ground_truth.bboxes", "array<array<double>>").alias("b_lists"),
+        text("$.tta_data", "array<struct<aug_id:int,label:string,params:map<string,string>>>").alias("t"),
+        text("$.config_used", "map<string,variant>").alias("c"),
     )
-    meta = [c for c in first.columns if c != "u" and not c.startswith(BRANCHES)]
+    meta = [c for c in first.columns if c not in ("u", "b_flat", "b_lists", "t", "c") and not c.startswith(BRANCHES)]
     reading = ", ".join(f"'{k}', try_variant_get(u.{part}, '$', '{kind}')" for k, (part, kind) in _READINGS.items())
     branch = [F.expr(f"if(coalesce({b}_there, false), named_struct('branch', '{b}', 'score', {b}_score, 'joints', {_joints_of(b)}), null)") for b in BRANCHES]
-    second = first.select(*meta, F.array_compact(F.array(*branch)).alias("predictions"), F.expr(f"transform(u, u -> named_struct('kp_idx', u.kp_idx, {reading}))").alias("readings"))
-    return second.select(*meta, "predictions", F.expr(f"coalesce(transform(readings, r -> {_candidates_of()}), array())").alias("unary"))
+    second = first.select(*meta, *(F.expr(f"coalesce({e}, array())").alias(c) for c, e in _OTHER_LISTS.items()), F.array_compact(F.array(*branch)).alias("predictions"), F.expr(f"transform(u, u -> named_struct('kp_idx', u.kp_idx, {reading}))").alias("readings"))
+    return second.select(*meta, *_OTHER_LISTS, "predictions", F.expr(f"coalesce(transform(readings, r -> {_candidates_of()}), array())").alias("unary"))
 
 
 def _list(column: pa.Array) -> tuple[pa.Array, pa.Array]:
@@ -178,7 +193,31 @@ def _candidates_table(b: pa.RecordBatch) -> dict[str, pa.Array]:
     return out
 
 
+def _flat_list(column: str, fields: tuple[str, ...], place: str):
+    """The child table of a list of flat objects: its parents' keys, the place in the list, the fields."""
+
+    def cut(b: pa.RecordBatch) -> dict[str, pa.Array]:
+        parent, child = _list(b.column(column))
+        at = _position(parent)
+        keep, child = _valid(child)
+        return {k: b.column(k).take(parent.take(keep)) for k in KEYS} | {place: at.take(keep)} | {f: _field(child, f) for f in fields}
+
+    return cut
+
+
+def _params(b: pa.RecordBatch) -> dict[str, pa.Array]:
+    """The parameters of augmentations, each with the place of its augmentation."""
+    parent, child = _list(b.column("tta"))
+    at = _position(parent)
+    up, param = _list(_field(child, "params"))
+    return {k: b.column(k).take(parent.take(up)) for k in KEYS} | {"tta_idx": at.take(up), "name": _field(param, "name"), "value": _field(param, "value")}
+
+
 _TABLES = {
+    "boxes": (_flat_list("boxes", ("x", "y", "w", "h"), "box_idx"), "packet_id bigint, loaded_at timestamp, box_idx int, x double, y double, w double, h double", ["boxes"]),
+    "tta": (_flat_list("tta", ("aug_id", "label"), "tta_idx"), "packet_id bigint, loaded_at timestamp, tta_idx int, aug_id int, label string", ["tta"]),
+    "tta_params": (_params, "packet_id bigint, loaded_at timestamp, tta_idx int, name string, value string", ["tta"]),
+    "config": (_flat_list("config", ("section", "name", "value"), "config_idx"), "packet_id bigint, loaded_at timestamp, config_idx int, section string, name string, value string", ["config"]),
     "predictions": (_predictions, "packet_id bigint, loaded_at timestamp, branch string, score double", ["predictions"]),
     "joints": (_joints, "packet_id bigint, loaded_at timestamp, branch string, kp_idx int, x double, y double, score double", ["predictions"]),
     "potentials": (_potentials, "packet_id bigint, loaded_at timestamp, potential_idx int, kp_idx int, n_means int, n_covariances int, n_weights int", ["unary"]),
@@ -187,7 +226,7 @@ _TABLES = {
 
 
 def child_table(packets: DataFrame, name: str) -> DataFrame:
-    """One of predictions, joints, potentials, candidates, each row with the keys of its parents."""
+    """One of boxes, tta, tta_params, config, predictions, joints, potentials, candidates, each row with the keys of its parents."""
     cut, schema, columns = _TABLES[name]
     names = [x.strip().split(" ")[0] for x in schema.split(",")]
 
@@ -200,8 +239,8 @@ def child_table(packets: DataFrame, name: str) -> DataFrame:
 
 
 def flatten(packets: DataFrame) -> dict[str, DataFrame]:
-    """All flat tables: packets and the four child tables."""
-    return {"packets": packets.drop("predictions", "unary")} | {name: child_table(packets, name) for name in _TABLES}
+    """All flat tables: packets and the child tables."""
+    return {"packets": packets.drop("predictions", "unary", *_OTHER_LISTS)} | {name: child_table(packets, name) for name in _TABLES}
 
 
 def missing_children(packets: DataFrame) -> DataFrame:

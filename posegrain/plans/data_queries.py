@@ -57,6 +57,11 @@ def _packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.normalize(nested.latest_delivery(table(spark, sf_dir, "packet_raw"), tie="body"))
 
 
+def _flat(child: DataFrame) -> DataFrame:
+    """A child table with its delivery as a number, which reads alike in every time zone."""
+    return child.select("packet_id", F.unix_micros("loaded_at").alias("loaded_us"), *child.columns[2:])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions that lack x or y of a joint and potentials whose lists differ in length, in the latest deliveries.
 
@@ -66,19 +71,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.flatten(_packets(spark, sf_dir))["packets"]
+    return _flat(nested.flatten(_packets(spark, sf_dir))["packets"])
 
 
 def p4_joints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.child_table(_packets(spark, sf_dir), "joints")
+    return _flat(nested.child_table(_packets(spark, sf_dir), "joints"))
 
 
 def p4_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.child_table(_packets(spark, sf_dir), "potentials")
+    return _flat(nested.child_table(_packets(spark, sf_dir), "potentials"))
 
 
 def p4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nested.child_table(_packets(spark, sf_dir), "candidates")
+    return _flat(nested.child_table(_packets(spark, sf_dir), "candidates"))
+
+
+def p4_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(nested.child_table(_packets(spark, sf_dir), "boxes"))
+
+
+def p4_tta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(nested.child_table(_packets(spark, sf_dir), "tta"))
+
+
+def p4_tta_params(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(nested.child_table(_packets(spark, sf_dir), "tta_params"))
+
+
+def p4_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the packets' configurations; their order in an object says nothing."""
+    return _flat(nested.child_table(_packets(spark, sf_dir), "config")).drop("config_idx")
 
 
 #: The columns of problem 5: table -> (numbers, texts).
@@ -128,7 +150,64 @@ def p6_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.index(_blocks(spark, sf_dir)).select("file_no", "path", "length", "crc")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_table, p4_found, p4_packets, p4_joints, p4_potentials, p4_candidates, p5_found, p5_profile, p6_found, p6_records, p6_index)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_table, p4_found, p4_packets, p4_joints, p4_potentials, p4_candidates, p4_boxes, p4_tta, p4_tta_params, p4_config, p5_found, p5_profile, p6_found, p6_records, p6_index)}
+
+_LATEST = "l as (select packet_id, epoch_us(loaded_at) as loaded_us, body from packet_raw where json_valid(body) qualify row_number() over (partition by packet_id order by loaded_at desc nulls last) = 1)"
+_P4_LIST = "from_json({0}, '[\"json\"]')"
+
+_P4_PACKETS = f"""
+with {_LATEST.replace(" where json_valid(body)", "")} select packet_id, loaded_us, try_cast(body->>'$.meta.image_id' as bigint) as image_id, body->>'$.meta.file_name' as file_name, body->>'$.meta.dataset' as dataset, body->>'$.meta.model_name' as model_name,
+ body->>'$.meta.sample_type' as sample_type, body->>'$.meta.timestamp' as run_ts, try_cast(body->>'$.ground_truth.area' as double) as area, try_cast(body->>'$.metrics.oks_base' as double) as oks_base, try_cast(body->>'$.metrics.swaps_base' as int) as swaps_base from l
+"""
+
+_P4_JOINTS = f"""
+{_LATEST},
+b as (select packet_id, loaded_us, 'baseline' as branch, json_extract(body, '$.predictions.baseline.coords') as c from l union all select packet_id, loaded_us, 'ours_gmm', json_extract(body, '$.predictions.ours_gmm.coords') from l),
+e as (select packet_id, loaded_us, branch, {_P4_LIST.format("c")} as es from b where json_type(c) = 'ARRAY'),
+k as (select *, list_filter(list_transform(es, lambda x: json_type(x)), lambda t: t is not null and t <> 'NULL')[1] as kind from e),
+j as (select packet_id, loaded_us, branch, kind, unnest(range(0, case when kind in ('ARRAY', 'OBJECT') then len(es) else ceil(len(es) / 3.0)::bigint end)) as i, es from k),
+joints as (select packet_id, loaded_us, branch, case kind when 'OBJECT' then try_cast(es[i + 1]->>'kp_idx' as int) else i::int end as kp_idx,
+ try_cast(case kind when 'ARRAY' then es[i + 1]->>0 when 'OBJECT' then es[i + 1]->>'x' else es[3 * i + 1]->>'$' end as double) as x,
+ try_cast(case kind when 'ARRAY' then es[i + 1]->>1 when 'OBJECT' then es[i + 1]->>'y' else es[3 * i + 2]->>'$' end as double) as y,
+ try_cast(case kind when 'ARRAY' then es[i + 1]->>2 when 'OBJECT' then es[i + 1]->>'score' else es[3 * i + 3]->>'$' end as double) as score
+ from j where kind is not null and kind not in ('ARRAY', 'OBJECT') or json_type(es[i + 1]) = kind)
+"""
+
+_P4_SOME = "list_filter({0}, lambda x: json_type(x) is not null and json_type(x) <> 'NULL')"
+_P4_POTENTIALS = f"""
+u as (select packet_id, loaded_us, json_extract(body, '$.unary') as u from l),
+p as (select packet_id, loaded_us, i::int as potential_idx, null as key, es[i + 1] as r from (select *, unnest(range(0, len(es))) as i from (select packet_id, loaded_us, {_P4_SOME.format(_P4_LIST.format("u"))} as es from u where json_type(u) = 'ARRAY'))
+ union all select packet_id, loaded_us, (row_number() over (partition by packet_id order by key) - 1)::int, key, json_extract(u, '$."' || key || '"') from (select *, unnest(json_keys(u)) as key from u where json_type(u) = 'OBJECT') where json_type(json_extract(u, '$."' || key || '"')) <> 'NULL'),
+q as (select packet_id, loaded_us, potential_idx, coalesce(try_cast(key as int), try_cast(r->>'kp_idx' as int)) as kp_idx, r->'means' as m, r->'covariances' as c, r->'weights' as w from p),
+n as (select *, case when json_type(m) = 'ARRAY' then {_P4_SOME.format(_P4_LIST.format("m"))} else [] end as ms, case when json_type(c) = 'ARRAY' then {_P4_SOME.format(_P4_LIST.format("c"))} else [] end as cs, case when json_type(w) = 'ARRAY' then {_P4_SOME.format(_P4_LIST.format("w"))} else [] end as ws from q),
+potentials as (select packet_id, loaded_us, potential_idx, kp_idx,
+ (case when json_type(m) = 'OBJECT' then 1 when len(ms) > 0 and json_type(ms[1]) not in ('ARRAY', 'OBJECT') then 1 else len(ms) end)::int as n_means,
+ (case when len(cs) > 0 and json_type(cs[1]) = 'ARRAY' and json_type(cs[1]->0) <> 'ARRAY' then 1 else len(cs) end)::int as n_covariances,
+ (case when json_type(w) in ('DOUBLE', 'BIGINT', 'UBIGINT') then 1 else len(ws) end)::int as n_weights from n)
+"""
+
+_P4_FOUND = f"""
+with {_P4_JOINTS}, {_P4_POTENTIALS},
+there as (select packet_id, 'baseline' as branch from l where json_type(body, '$.predictions.baseline') <> 'NULL' union all select packet_id, 'ours_gmm' from l where json_type(body, '$.predictions.ours_gmm') <> 'NULL')
+select packet_id, branch, kp_idx::int as kp_idx from there, range(0, 17) t(kp_idx) where not exists (select 1 from joints j where j.packet_id = there.packet_id and j.branch = there.branch and j.kp_idx = t.kp_idx and x is not null and y is not null)
+union all select distinct packet_id, 'unary', kp_idx from potentials where not (n_means = n_covariances and n_covariances = n_weights)
+"""
+
+_P4_BOXES = f"""
+with {_LATEST}, b as (select packet_id, loaded_us, {_P4_LIST.format("json_extract(body, '$.ground_truth.bboxes')")} as es from l where json_type(body, '$.ground_truth.bboxes') = 'ARRAY'),
+f as (select packet_id, loaded_us, [try_cast(e->>'$' as double) for e in es] as v, unnest(range(0, ceil(len(es) / 4.0)::bigint))::int as i from b)
+select packet_id, loaded_us, i as box_idx, v[4 * i + 1] as x, v[4 * i + 2] as y, v[4 * i + 3] as w, v[4 * i + 4] as h from f
+"""
+
+_P4_TTA = f"""
+{_LATEST}, b as (select packet_id, loaded_us, {_P4_LIST.format("json_extract(body, '$.tta_data')")} as es from l where json_type(body, '$.tta_data') = 'ARRAY'),
+t as (select packet_id, loaded_us, unnest(range(0, len(es)))::int as tta_idx, unnest(es) as e from b)
+"""
+
+_P4_CONFIG = f"""
+with {_LATEST}, s as (select packet_id, loaded_us, section, json_extract(body, '$.config_used."' || section || '"') as c from (select *, unnest(json_keys(body, '$.config_used')) as section from l))
+select packet_id, loaded_us, section, name, c->>('$."' || name || '"') as value from (select *, unnest(json_keys(c)) as name from s where json_type(c) = 'OBJECT')
+"""
 
 _P5_FOUND = r"""
 with v as (
@@ -180,4 +259,13 @@ select image_id, base_name, file_no, line_no, dataset, model_name, ts, oks_ours,
 
 _P6_INDEX = "select file_no, file_path as path, strlen(content)::bigint as length from packet_file"
 
-SQL = {"p6_records": _P6_UNIQUE, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p6_found": _P6_FOUND}
+SQL = {
+    "p4_found": _P4_FOUND,
+    "p4_packets": _P4_PACKETS,
+    "p4_joints": f"with {_P4_JOINTS} select * from joints",
+    "p4_potentials": f"with {_LATEST}, {_P4_POTENTIALS} select * from potentials",
+    "p4_boxes": _P4_BOXES,
+    "p4_tta": f"with {_P4_TTA} select packet_id, loaded_us, tta_idx, try_cast(e->>'aug_id' as int) as aug_id, e->>'label' as label from t where json_type(e) = 'OBJECT'",
+    "p4_tta_params": f"with {_P4_TTA} select packet_id, loaded_us, tta_idx, name, e->>('$.params.\"' || name || '\"') as value from (select *, unnest(json_keys(e, '$.params')) as name from t)",
+    "p4_config": _P4_CONFIG,
+    "p6_records": _P6_UNIQUE, "p5_found": _P5_FOUND, "p5_profile": _P5_PROFILE, "p6_found": _P6_FOUND}

@@ -49,6 +49,17 @@ def test_potentials_in_all_forms(spark):
     assert c[0, 1] == (3.0, 4.0, 1.0, 2.0, 0.4) and c[1, 0] == (1.0, 2.0, 1.0, 2.0, 0.5) and c[5, 0] == (1.0, 2.0, None, None, None) and (4, 0) not in c
 
 
+def test_the_other_lists(spark):
+    one = {"ground_truth": {"bboxes": [1, 2, 3, 4, 5, 6]}, "tta_data": [{"aug_id": 3, "label": "flip", "params": {"a": 1, "b": "x"}}, None, {"label": "blur"}], "config_used": {"tta": {"flip": True}, "seed": 7, "model": {"input": [1, 2]}}}
+    d = packets(spark, [one, {"ground_truth": {"bboxes": [[1, 2, 3, 4], None, [5, 6, 7, 8]]}, "tta_data": "none", "config_used": []}, {}])
+    rows = lambda t: sorted((tuple(r)[0], *tuple(r)[2:]) for r in N.child_table(d, t).collect())
+    assert rows("boxes") == [(0, 0, 1.0, 2.0, 3.0, 4.0), (0, 1, 5.0, 6.0, None, None), (1, 0, 1.0, 2.0, 3.0, 4.0), (1, 2, 5.0, 6.0, 7.0, 8.0)]
+    assert rows("tta") == [(0, 0, 3, "flip"), (0, 2, None, "blur")]
+    assert rows("tta_params") == [(0, 0, "a", "1"), (0, 0, "b", "x")]
+    got = {(r.section, r.name): r.value for r in N.child_table(d, "config").collect()}
+    assert got == {("tta", "flip"): "true", ("seed", None): "7", ("model", "input"): "[1,2]"}
+
+
 def test_missing_children(spark):
     full = [[1, 2, 3]] * 17
     d = packets(spark, [{"predictions": {"baseline": {"coords": full}, "ours_gmm": None}}, {"predictions": {"ours_gmm": {"coords": full[:16]}}}, {"predictions": {"baseline": {}}}, {"unary": [{"kp_idx": 7, "means": [[1, 2]], "weights": []}]}])
