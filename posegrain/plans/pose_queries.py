@@ -12,7 +12,7 @@ from posegrain.functions import heatmaps as H
 from posegrain.functions import mixtures as G
 from posegrain.functions import scalars as S
 from posegrain.operators import augment as augment_ops
-from posegrain.operators import heatmap_ops, mining, mixture_fit, nested, poses, skeleton
+from posegrain.operators import heatmap_ops, mining, mixture_fit, nested, pipeline, poses, skeleton
 from posegrain.plans.calibration_queries import KP, PK, rnd, rounded
 from posegrain.schema import FLIP_PAIRS, KAPPA, KEYPOINTS, SKELETON, edge_dim, edges, joint_dim, keypoints, label, packets, pair_dim
 from posegrain.session import materialize, table
@@ -435,8 +435,8 @@ def ref_image_oks(spark, sf_dir):
 _PAIRS = ", ".join(f"({i}, {a}, {b}, {KAPPA[a]}::double, {KAPPA[b]}::double)" for i, (a, b) in enumerate(FLIP_PAIRS))
 
 
-def _swap_sql(margin: float, name: str, px: str = "px") -> str:
-    o = lambda p, g, k: f"exp(-(pow({p}.{px} - {g}.gx, 2) + pow({p}.py - {g}.gy, 2)) / (2 * l.area * {k} * {k}))"
+def _swap_sql(margin: float, name: str, px: str = "px", py: str = "py") -> str:
+    o = lambda p, g, k: f"exp(-(pow({p}.{px} - {g}.gx, 2) + pow({p}.{py} - {g}.gy, 2)) / (2 * l.area * {k} * {k}))"
     return f"{name} as (select l.image_id, p.pair, ({o('l', 'r', 'rk')} > {o('l', 'l', 'lk')} + {margin}::double and {o('l', 'r', 'rk')} > 0.3) or ({o('r', 'l', 'lk')} > {o('r', 'r', 'rk')} + {margin}::double and {o('r', 'l', 'lk')} > 0.3) as swapped from (select * from (values {_PAIRS}) as p(pair, a, b, lk, rk)) p join joint l on l.kp_idx = p.a join joint r on r.image_id = l.image_id and r.kp_idx = p.b where l.vis > 0 and r.vis > 0)"
 
 
@@ -586,6 +586,85 @@ def ref_image_pipeline(spark, sf_dir):
     return out.join(s, "image_id", "left")
 
 
+_METHODS = {"base": ("bx", "by"), "ours": ("ox", "oy"), "tta": ("tx", "ty")}
+
+
+def _measured(spark: SparkSession, sf_dir: str, decoded: DataFrame | None = None) -> DataFrame:
+    """Joints with a baseline, the decoded candidates (by default each joint's heaviest) and an augmented prediction."""
+    c = components(spark, sf_dir)
+    if decoded is None:
+        decoded = c.groupBy("image_id", "kp_idx").agg(F.max_by(F.struct("mx", "my"), F.expr("weight * 1000000 - cand_idx")).alias("b")).select("image_id", "kp_idx", F.col("b.mx").alias("x"), F.col("b.my").alias("y"))
+    j = _with_kappa(spark, sf_dir).withColumnsRenamed({"px": "bx", "py": "by"}).selectExpr("*", "bx + 5 as tx", "by - 3 as ty", "gx / 4 as hx", "24D as hy")
+    # candidates are in map coordinates: four pixels a cell, about the truth's height
+    j = pipeline.fallback(decoded.select("image_id", "kp_idx", F.expr("x * 4").alias("x"), "y"), pipeline.usable(j), ["image_id"]).withColumn("oy", F.expr("gy + (oy - 24) / 4"))
+    return pipeline.joint_measures(j, pipeline.mixtures_of(c, ["image_id"]), ["image_id"], _METHODS)
+
+
+_EVAL = f"""{COMP}, {JOINT}, {_KAPPA}, best as (select image_id, kp_idx, arg_max(mx, weight * 1e6 - cand_idx) as mx, arg_max(my, weight * 1e6 - cand_idx) as my from comp group by all),
+ pj as (select joint.*, joint.px as bx, joint.py as "by", kappa, mx * 4 as ox, gy + (my - 24) / 4 as oy, px + 5 as tx, py - 3 as ty from joint join best using (image_id, kp_idx) join k using (kp_idx)),
+ {_COMPS}, nl as (select image_id, kp_idx, -ln(greatest(0.1::double / 3072 + sum(weight * ({_PDF('gx / 4', 24)})), 1e-300)) as nll, count(*) as n_comp, sum(sqrt(greatest({_DET}, 1e-10)) * weight) / sum(weight) as volume from comp join (select image_id, kp_idx, gx from joint) using (image_id, kp_idx) group by all),
+ en as (select image_id, kp_idx, greatest(sum(-p * ln(p + 1e-10) + p * (ln(2 * pi() * exp(1)) + 0.5::double * ld)), 1e-6) as entropy from (select image_id, kp_idx, weight / w as p, greatest(case when {_DET} <= 0 or ln(case when {_DET} > 0 then {_DET} else 1 end) < -20 then ln(greatest((cxx + 1e-3) * (cyy + 1e-3) - cxy * cxy, 1e-300)) else ln({_DET}) end, -20) as ld from comp join mix using (image_id, kp_idx)) group by all),
+ {', '.join(_swap_sql(g, f"s_{m}_{str(g).replace('.', '')}", x, y).replace('join joint l', 'join pj l').replace('join joint r', 'join pj r') for m, (x, y) in _METHODS.items() for g in pipeline.MARGINS)},
+ sw as (select image_id, """ + ", ".join(
+    f"count(*) filter (s_{m}_{t}.swapped) as swaps_{m}_{t}" + ("" if m == "base" else f", count(*) filter (s_base_{t}.swapped and not s_{m}_{t}.swapped) as corrected_{m}_{t}, count(*) filter (not s_base_{t}.swapped and s_{m}_{t}.swapped) as introduced_{m}_{t}") for m in _METHODS for t in ("00", "07")
+) + " from s_base_00 " + " ".join(f"join s_{m}_{t} using (image_id, pair)" for m in _METHODS for t in ("00", "07") if (m, t) != ("base", "00")) + """ group by image_id),
+ im as (select image_id, count(*) as n_joints, count(*) filter (vis > 0) as n_visible, """ + ", ".join(f"coalesce(avg(exp(-(pow({x} - gx, 2) + pow({y} - gy, 2)) / (2 * area * kappa * kappa))) filter (vis > 0), 0) as oks_{m}" for m, (x, y) in (("base", ("px", "py")), ("ours", ("ox", "oy")), ("tta", ("tx", "ty")))) + """, avg(nll) filter (vis > 0) as nll, avg(entropy) as entropy, avg(volume) as covariance_volume, avg(n_comp) as n_components from pj join nl using (image_id, kp_idx) join en using (image_id, kp_idx) group by image_id),
+ ev as (select im.*, oks_ours - oks_base as delta_ours, oks_tta - oks_base as delta_tta, sw.* exclude (image_id) from im left join sw using (image_id))"""
+_EVAL_DOUBLES = ("oks_base", "oks_ours", "oks_tta", "nll", "entropy", "covariance_volume", "n_components", "delta_ours", "delta_tta")
+_EVAL_COUNTS = [f"{k}_{m}_{t}" for m in _METHODS for t in ("00", "07") for k in (("swaps",) if m == "base" else ("swaps", "corrected", "introduced"))]
+
+
+def _evaluated(spark: SparkSession, measured: DataFrame) -> DataFrame:
+    return pipeline.evaluate_images(measured, pair_dim(spark), ["image_id"], _METHODS)
+
+
+@query(f"with {_EVAL} select image_id, n_joints, n_visible, " + ", ".join(f"{rnd(c)} as {c}" for c in _EVAL_DOUBLES) + ", " + ", ".join(f"coalesce({c}, 0) as {c}" for c in _EVAL_COUNTS) + " from ev")
+def ref_image_evaluation(spark, sf_dir):
+    """Every image with the similarities, swaps and mixture measures of three predictions (baseline, heaviest candidates, augmented)."""
+    return rounded(_evaluated(spark, materialize(_measured(spark, sf_dir), "measured")))
+
+
+@query()
+def ref_image_evaluation_tree(spark, sf_dir):
+    """The same with the candidates chosen by the tree over the skeleton."""
+    c = components(spark, sf_dir)
+    chosen = skeleton.decode_pose(c, edges(), ["image_id"]).select("image_id", "kp_idx", "cand_idx")
+    decoded = c.join(chosen, ["image_id", "kp_idx", "cand_idx"]).select("image_id", "kp_idx", F.col("mx").alias("x"), F.col("my").alias("y"))
+    return rounded(_evaluated(spark, materialize(_measured(spark, sf_dir, decoded), "measured")))
+
+
+@query(f"""with {_EVAL}, g as (select image_id, sum(gx * (kp_idx + 1)) as truth, sum(ox * (kp_idx + 1)) as ours from pj group by 1), u as (select image_id, count(*) as n_candidates, sum(weight * (kp_idx + 1)) as weights from comp group by 1)
+ select image_id, n_joints, {rnd('truth')} as truth, {rnd('ours')} as ours, n_candidates, {rnd('weights')} as weights, {rnd('oks_ours')} as oks_ours, coalesce(swaps_base_00, 0) as swaps_base_00 from ev join g using (image_id) join u using (image_id)""")
+def ref_deep_packets(spark, sf_dir):
+    """Deep packets, read back: sums over the nested truth, predictions and candidates of each image, weighted by joint."""
+    m = materialize(_measured(spark, sf_dir), "measured")
+    p = pipeline.deep_packets(m, _evaluated(spark, m), ["image_id"], _METHODS)
+    total = lambda a, e: f"aggregate({a}, 0D, (s, j) -> s + {e})"
+    out = p.selectExpr(
+        "image_id", "cast(size(ground_truth) as bigint) as n_joints", f"{total('ground_truth', 'j.x * (j.kp_idx + 1)')} as truth", f"{total("predictions['ours']", 'j.x * (j.kp_idx + 1)')} as ours",
+        "aggregate(unary, 0L, (s, j) -> s + size(j.comps)) as n_candidates", f"{total('unary', 'aggregate(j.comps, 0D, (t, c) -> t + c.weight) * (j.kp_idx + 1)')} as weights", "metrics.oks_ours as oks_ours", "metrics.swaps_base_00 as swaps_base_00",
+    )
+    return rounded(out)
+
+
+@query(f"with {_EVAL} select image_id % 7 as part, sum(coalesce(swaps_base_00, 0))::bigint as swaps_base, sum(coalesce(swaps_ours_00, 0))::bigint as swaps_ours, {rnd('(sum(coalesce(swaps_base_00, 0)) - sum(coalesce(swaps_ours_00, 0))) * 100.0::double / greatest(1, sum(coalesce(swaps_base_00, 0)))')} as net_reduction_pct from ev group by 1")
+def ref_swap_totals(spark, sf_dir):
+    """Swaps of both predictions in total, and the net reduction in percent, by seven parts of the images."""
+    e = _evaluated(spark, materialize(_measured(spark, sf_dir), "measured")).withColumn("part", F.expr("image_id % 7"))
+    return rounded(pipeline.swap_totals(e, ["part"], "swaps_base_00", "swaps_ours_00"))
+
+
+@query(f"""with {COMP}, {_COMPS}, f as (select image_id, min(k) as lo, max(k) as hi, min(kp_idx) as kp from mix group by 1),
+ a as (select image_id, cand_idx, case when any_value(lo) = any_value(hi) then avg(weight) else max(weight) filter (kp_idx = kp) end as weight, case when any_value(lo) = any_value(hi) then avg(cxx) else max(cxx) filter (kp_idx = kp) end as cxx, case when any_value(lo) = any_value(hi) then avg(cyy) else max(cyy) filter (kp_idx = kp) end as cyy from comp join f using (image_id) group by 1, 2)
+ select image_id, cand_idx, {rnd('weight')} as weight, {rnd('cxx')} as cxx, {rnd('cyy')} as cyy, floor(n)::int as n_components from a join (select image_id, avg(k) as n from mix group by 1) using (image_id) where weight is not null""")
+def ref_mixture_summary(spark, sf_dir):
+    """Weights and covariances of each image's mixtures in one row: means by place, or those of the first joint where the numbers differ."""
+    f = mixtures(spark, sf_dir).select("image_id", "kp_idx", F.lit(0.1).alias("uniform_weight"), F.col("comps").alias("components"))
+    s = pipeline.mixture_summary(f, ["image_id"])
+    s = s.select("image_id", "n_components", "covariances", F.posexplode("weights").alias("cand_idx", "weight"))
+    return rounded(s.selectExpr("image_id", "cand_idx", "weight", "get(covariances, cand_idx).xx as cxx", "get(covariances, cand_idx).yy as cyy", "n_components"))
+
+
 # ---- images
 
 
