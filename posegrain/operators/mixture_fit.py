@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 PART = "struct<mx:double,my:double,cxx:double,cxy:double,cyy:double,weight:double,n:int>"
-FIT = f"model_type string, uniform_weight double, log_likelihood double, aic double, bic double, n_iterations int, converged boolean, components array<{PART}>"
+FIT = f"model_type string, uniform_weight double, log_likelihood double, aic double, bic double, n_iterations int, converged boolean, n_dead int, components array<{PART}>"
 TINY = 1e-300
 
 
@@ -121,6 +121,7 @@ class Mixture:
     ll: float = -np.inf
     iterations: int = 0
     converged: bool = False
+    dead: int = 0
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def bic(self, n: int) -> float:
@@ -160,20 +161,37 @@ def seeds(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return c
 
 
-def fit(x: np.ndarray, k: int, rng: np.random.Generator, bbox: tuple[float, float, float, float] | None = None, uniform: float = 0.1, tol: float = 1e-4, max_iter: int = 100, reg: float = 1e-6) -> Mixture:
+def start(x: np.ndarray, k: int, rng: np.random.Generator, uniform: float, reg: float, init: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Starting means, covariances, weights and uniform share from clusters ("kmeans") or from k of the points ("random").
+
+    Every component takes the mean, covariance and share of its cluster; one point alone spreads by 10, and a cluster without
+    points begins as the whole, with an equal share.  All shares together are 1.
+    """
+    if init not in ("kmeans", "random"):
+        raise ValueError(f"unknown start {init!r}")
+    mean = seeds(x, k, rng) if init == "kmeans" else x[rng.choice(len(x), k, replace=False)].copy()
+    own = ((x[:, None] - mean[None]) ** 2).sum(-1).argmin(1)
+    n = np.bincount(own, minlength=k)
+    mean = np.where(n[:, None] > 0, mean, x.mean(0))
+    whole = np.cov(x.T)
+    cov = regularized(np.array([whole if not n[j] else np.cov(x[own == j].T) if n[j] > 1 else 10 * np.eye(2) for j in range(k)]), reg)
+    weight = (1 - uniform) * np.where(n > 0, n / len(x), 1 / k)
+    total = weight.sum() + uniform
+    return mean, cov, weight / total, uniform / total
+
+
+def fit(x: np.ndarray, k: int, rng: np.random.Generator, bbox: tuple[float, float, float, float] | None = None, uniform: float = 0.1, tol: float = 1e-4, max_iter: int = 100, reg: float = 1e-6, init: str = "kmeans", least_weight: float = 1e-3) -> Mixture:
     """Expectation-maximisation of k Gaussians and a uniform part over a box (the data's, one unit wider, if none is given).
 
     Stops when the log likelihood changes by less than ``tol`` after the first round.  Needs (n, 2) points, n > k.
+    ``dead`` counts the components that end below ``least_weight``.
     """
     x = np.asarray(x, float)
     if x.ndim != 2 or x.shape[1] != 2 or len(x) < k + 1:
         raise ValueError("needs (n, 2) points and more points than components")
     x0, y0, x1, y1 = bbox or (*(x.min(0) - 1), *(x.max(0) + 1))
-    mean = seeds(x, k, rng)
-    own = ((x[:, None] - mean[None]) ** 2).sum(-1).argmin(1)
-    whole = np.cov(x.T)
-    cov = regularized(np.array([whole if not (own == j).any() else np.cov(x[own == j].T) if (own == j).sum() > 1 else 10 * np.eye(2) for j in range(k)]), reg)
-    m = Mixture(mean, cov, np.full(k, (1 - uniform) / k), uniform, 1 / max((x1 - x0) * (y1 - y0), TINY))
+    mean, cov, weight, share = start(x, k, rng, uniform, reg, init)
+    m = Mixture(mean, cov, weight, share, 1 / max((x1 - x0) * (y1 - y0), TINY))
     for i in range(max_iter):
         parts = np.column_stack((densities(x, m.mean, m.cov) * m.weight, np.full(len(x), m.uniform * m.density)))
         p = np.maximum(parts.sum(1), TINY)
@@ -197,6 +215,7 @@ def fit(x: np.ndarray, k: int, rng: np.random.Generator, bbox: tuple[float, floa
         w = n_k / n_k.sum()
         m.weight, m.uniform = w[:k], float(w[k])
     m.counts = np.round(m.weight * len(x)).astype(int)
+    m.dead = int((m.weight < least_weight).sum())
     return m
 
 
@@ -218,7 +237,7 @@ def select(x: np.ndarray, rng: np.random.Generator, aic_weight: float = 0.0, bic
 
 def _row(name: str, m: Mixture, n: int) -> dict:
     parts = [{"mx": a[0], "my": a[1], "cxx": c[0, 0], "cxy": c[0, 1], "cyy": c[1, 1], "weight": w, "n": int(k)} for a, c, w, k in zip(m.mean, m.cov, m.weight, m.counts, strict=True)]
-    return {"model_type": name, "uniform_weight": m.uniform, "log_likelihood": m.ll, "aic": m.aic(), "bic": m.bic(n), "n_iterations": m.iterations, "converged": m.converged, "components": parts}
+    return {"model_type": name, "uniform_weight": m.uniform, "log_likelihood": m.ll, "aic": m.aic(), "bic": m.bic(n), "n_iterations": m.iterations, "converged": m.converged, "n_dead": m.dead, "components": parts}
 
 
 def fit_heatmaps(df: DataFrame, keys: list[str], n: int = 1000, method: str = "importance", temperature: float = 0.3, jitter: float = 0.5, seed: int = 0, repeats: int = 1, **how) -> DataFrame:
@@ -227,7 +246,7 @@ def fit_heatmaps(df: DataFrame, keys: list[str], n: int = 1000, method: str = "i
     A map that cannot be sampled or fitted has a row with null model_type and no components, so that no joint is lost and
     the rest of its image keeps its joint numbers.  ``repeats`` independent draws feed ``combine_repeats``.
     """
-    empty = {"model_type": None, "uniform_weight": None, "log_likelihood": None, "aic": None, "bic": None, "n_iterations": 0, "converged": False, "components": []}
+    empty = {"model_type": None, "uniform_weight": None, "log_likelihood": None, "aic": None, "bic": None, "n_iterations": 0, "converged": False, "n_dead": 0, "components": []}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
