@@ -90,9 +90,44 @@ def config_value(config: Column, path: str) -> Column:
     return F.regexp_replace(F.get_json_object(config, "$." + path), r"\$\{[^}]*\}", "")
 
 
+def config_with(config: str, path: str, value: str) -> Column:
+    """The JSON configuration ``config`` (an SQL expression) with a dotted key set to ``value`` (JSON text).
+
+    Sections that are missing or no objects are made; a configuration that is no object counts as empty; keys come in order.
+    """
+    text = value.replace("\\", "\\\\").replace("'", "\\'")
+
+    def put(at: str, keys: list[str]) -> str:
+        if not keys:
+            return f"parse_json('{text}')"
+        m = f"coalesce(try_variant_get({at}, '$', 'map<string,variant>'), map())"
+        return f"to_variant_object(map_concat(map_filter({m}, (k, v) -> k <> '{keys[0]}'), map('{keys[0]}', {put(f"try_variant_get({at}, '$.{keys[0]}', 'variant')", keys[1:])})))"
+
+    return F.to_json(F.expr(put(f"try_parse_json({config})", path.split("."))))
+
+
 # ---- boxes and coordinates
 
 
+def map_affine(bbox: str, hm_w: str, hm_h: str, img_w: str, img_h: str) -> dict[str, str]:
+    """Scale and shift (sx, sy, x0, y0) from map cells to image pixels where no stored transform exists, as SQL.
+
+    ``bbox`` is an array x, y, w, h in pixels or, if all four lie in the unit interval, in shares of the image; one that is null,
+    too short, not finite or without size stands for the whole image.  Without a map size, coordinates are shares of the image.
+    """
+    b = [f"get({bbox}, {i})" for i in range(4)]
+    finite = " and ".join(f"{x} is not null and not isnan({x}) and abs({x}) < double('Infinity')" for x in b)
+    unit = f"{b[0]} between 0 and 1 and {b[1]} between 0 and 1 and {b[2]} <= 1 and {b[3]} <= 1"
+    ok = f"({finite} and {b[2]} > 0 and {b[3]} > 0)"
+    sized = f"coalesce({hm_w} > 0 and {hm_h} > 0, false)"
+    pick = lambda i, size, whole: f"if({ok}, {b[i]} * if({unit}, cast({size} as double), 1D), {whole})"
+    return {
+        "sx": f"if({sized}, {pick(2, img_w, f'cast({img_w} as double)')} / {hm_w}, cast({img_w} as double))", "sy": f"if({sized}, {pick(3, img_h, f'cast({img_h} as double)')} / {hm_h}, cast({img_h} as double))",
+        "x0": pick(0, img_w, "0D"), "y0": pick(1, img_h, "0D"),
+    }
+
+
+
 def resize(value: Column, scale: Column) -> Column:
     """Annotation coordinates under image scaling; scales that are not positive are an error, 1 changes nothing."""
     return F.when(scale <= 0, F.raise_error(F.lit("scale must be positive")).cast("double")).when(F.abs(scale - 1.0) < 1e-8, value).otherwise(value * scale)

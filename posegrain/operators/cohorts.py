@@ -75,3 +75,14 @@ def cohort_counts(df: DataFrame, step: float = 0.1, fail: float = 0.5, quantile:
     rules = [("wins", f"oks_ours > oks_base + {step}D"), ("regressions", f"oks_base > oks_ours + {step}D"), ("high_uncertainty", "covariance_volume > q"), ("edge_cases", f"oks_base < {fail}D and oks_ours < {fail}D")]
     a = d.agg(F.count(F.lit(1)).alias("total"), *(F.count(F.when(F.expr(r), 1)).alias(n) for n, r in rules))
     return a.select("total", F.inline(F.array(*(F.struct(F.lit(n).alias("cohort"), F.col(n).alias("n")) for n, _ in rules)))).select("cohort", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
+
+
+def run_medians(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys..., metric, n, median) of several columns in one pass over one unpivoted table; nulls and NaN are left out."""
+    long = df.unpivot(list(keys), [F.col(c).cast("double").alias(c) for c in columns], "metric", "value")
+    return quantiles(long, [*keys, "metric"], "value", [0.5]).select(*keys, "metric", "n", F.col("value").alias("median"))
+
+
+def swap_sums(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys..., <c>_sum): totals of counts; a column that is missing gives 0."""
+    return df.groupBy(*keys).agg(*((F.coalesce(F.sum(c), F.lit(0)) if c in df.columns else F.lit(0)).cast("bigint").alias(f"{c}_sum") for c in columns))

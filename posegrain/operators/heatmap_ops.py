@@ -167,3 +167,19 @@ def flip_agreement(df: DataFrame, keys: list[str], a: str = "hm_a", b: str = "hm
     d = _with(df, corr=H.correlation(a, b), mse=H.squared_error(a, b), _ax=H.argmax_x(a, "hm_w"), _ay=H.argmax_y(a, "hm_w"), _bx=H.argmax_x(b, "hm_w"), _by=H.argmax_y(b, "hm_w"))
     d = _with(d, peak_distance="sqrt(cast(pow(_ax - _bx, 2) + pow(_ay - _by, 2) as double))", peak_ratio=f"if(array_max({a}) > 0, array_max({b}) / array_max({a}), null)")
     return d.select(*keys, "corr", "mse", "peak_distance", "peak_ratio")
+
+
+def component_joint(components: DataFrame, maps: DataFrame, image: list[str]) -> DataFrame:
+    """Adds ``at_kp`` to components (mx, my): the joint whose map is highest at the component's rounded place, cut to the map; the lowest joint among equals.
+
+    ``maps`` has the image's joints (kp_idx, hm, hm_w, hm_h).  An image's maps are gathered once (17 at most); components of
+    images without maps have null.
+    """
+    m = maps.groupBy(*image).agg(F.array_sort(F.collect_list(F.struct("kp_idx", "hm", "hm_w", "hm_h"))).alias("_maps"))  # 17 maps an image
+    on = F.lit(True)
+    for c in image:
+        on = on & F.col(f"c.{c}").eqNullSafe(F.col(f"m.{c}"))
+    d = components.alias("c").join(m.alias("m"), on, "left").select("c.*", "_maps")
+    cell = lambda v, size: f"greatest(0, least({size} - 1, cast(bround({v}) as int)))"
+    best = f"array_max(transform(_maps, m -> named_struct('v', get(m.hm, {cell('my', 'm.hm_h')} * m.hm_w + {cell('mx', 'm.hm_w')}), 'k', -m.kp_idx)))"
+    return d.select(*components.columns, (-F.expr(f"{best}.k")).alias("at_kp"))

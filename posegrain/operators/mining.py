@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from posegrain.functions import scalars as S
 
@@ -38,8 +38,13 @@ def bone_changes(merged: DataFrame, on: list[str], gain: bool = True, parent: fl
     return d.where(rule)
 
 
-def phantom_joints(joints: DataFrame, flip_dim: DataFrame, image: list[str], conf: float = 0.45, det: float = 1.0) -> DataFrame:
-    """Absent limb joints that a decoder was sure of and the mixture was not, with the state of the opposite joint."""
+def phantom_joints(joints: DataFrame, flip_dim: DataFrame, image: list[str], conf: float = 0.45, det: float = 1.0, images: DataFrame | None = None, oks: float = 0.35) -> DataFrame:
+    """Absent limb joints that a decoder was sure of and the mixture was not, with the state of the opposite joint.
+
+    With ``images`` (image columns, swaps_base, oks_ours) only images without swaps and with a similarity of ``oks`` or more count.
+    """
+    if images is not None:
+        joints = joints.join(images.where(f"swaps_base = 0 and oks_ours >= {oks}D").select(*image), image, "left_semi")
     other = joints.select(*image, F.col("kp_idx").alias("flip_idx"), F.col("vis").alias("opp_vis"))
     d = joints.where(f"kp_idx between 5 and 16 and vis = 0 and base_score >= {conf}D and cov_det >= {det}D").join(F.broadcast(flip_dim.select("kp_idx", "flip_idx")), "kp_idx")  # 17 rows
     d = d.join(other, [*image, "flip_idx"], "left").withColumn("both_absent", F.expr("coalesce(opp_vis, 1) = 0"))
@@ -142,3 +147,8 @@ def visibility_slices(joints: DataFrame, image: list[str]) -> DataFrame:
     """(image..., absent, occluded, visible): joint indices of an image by visibility, in order."""
     pick = lambda v, out: F.array_sort(F.collect_list(F.when(F.col("vis") == v, F.col("kp_idx")))).alias(out)
     return joints.groupBy(*image).agg(pick(0, "absent"), pick(1, "occluded"), pick(2, "visible"))
+
+
+def best_of_each(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """The first row of each key in ``order``: one row a key leaves each task (a window with row_number() = 1)."""
+    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

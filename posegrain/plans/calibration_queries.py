@@ -336,6 +336,12 @@ def ref_run_report(spark, sf_dir):
     return rounded(cohorts.run_report(packets(spark, sf_dir), ["model_name"], _RUN))
 
 
+@query(f"with {PK} select model_name, metric, count(*) as n, {rnd('median(value)')} as median from (unpivot pk on " + ", ".join(_RUN) + " into name metric value value) where value is not null group by all")
+def ref_run_medians(spark, sf_dir):
+    """Medians by model."""
+    return rounded(cohorts.run_medians(packets(spark, sf_dir), ["model_name"], _RUN))
+
+
 @query(f"""with {PK} select dataset, model_name, count(*) as n_images, {rnd('avg(oks_ours)', 12)} as oks_ours_mean, {rnd('avg(oks_base)', 12)} as oks_base_mean, {rnd('avg(oks_ours) - avg(oks_base)', 12)} as delta_oks_mean, {rnd('(avg(oks_ours) - avg(oks_base)) / nullif(avg(oks_base), 0) * 100', 9)} as proportional_gain,
  rank() over (order by round(avg(oks_ours), 9) desc nulls last) as place from pk group by dataset, model_name""")
 def ref_leaderboard(spark, sf_dir):

@@ -586,6 +586,39 @@ def ref_image_pipeline(spark, sf_dir):
     return out.join(s, "image_id", "left")
 
 
+_AFFINE_BOX = "case image_id % 4 when 0 then null when 1 then [0.1::double, 0.2, 0.5, 0.4] when 2 then [10.0::double, 20.0, 100.0 + image_id % 50, 80.0] else [5.0::double, 5.0, 0.0, 9.0] end"
+_ABOX = "if(image_id % 4 = 0, null, if(image_id % 4 = 1, array(0.1D, 0.2D, 0.5D, 0.4D), if(image_id % 4 = 2, array(10D, 20D, 100D + image_id % 50, 80D), array(5D, 5D, 0D, 9D))))"
+
+
+@query(f"""with {COMP}, b as (select *, {_AFFINE_BOX} as box from comp),
+ a as (select *, case image_id % 4 when 1 then 64.0::double when 2 then 10.0 else 0.0 end as x0, case image_id % 4 when 1 then 96.0::double when 2 then 20.0 else 0.0 end as y0, case image_id % 4 when 1 then 320.0::double when 2 then box[3] else 640.0 end / 48 as sx, case image_id % 4 when 1 then 192.0::double when 2 then 80.0 else 480.0 end / 64 as sy from b)
+ select image_id, kp_idx, cand_idx, {rnd('x0 + mx * sx')} as mx, {rnd('y0 + my * sy')} as my, {rnd('cxx * sx * sx')} as cxx, {rnd('cxy * sx * sy')} as cxy, {rnd('cyy * sy * sy')} as cyy from a""")
+def ref_map_affine(spark, sf_dir):
+    """Components in image pixels by the box of the person: in pixels, in shares of the image, missing or without size."""
+    c = components(spark, sf_dir).withColumn("box", F.expr(_ABOX))
+    c = c.select("*", *(F.expr(e).alias(n) for n, e in S.map_affine("box", "48", "64", "640", "480").items()))
+    return rounded(c.select("image_id", "kp_idx", "cand_idx", *(F.expr(e).alias(n) for n, e in G.affine("sx", "sy", "x0", "y0").items())))
+
+
+@query(f"""with {HM}, c as (select image_id, kp_idx, (vec_id * 37 % 90) / 10.0::double - 0.5 as mx, (vec_id * 53 % 80) / 10.0::double as my from hm),
+ s as (select c.image_id, c.kp_idx, c.mx, c.my, h.kp_idx as k, h.hm[greatest(0, least(7, round_even(my, 0)::int)) * 8 + greatest(0, least(7, round_even(mx, 0)::int)) + 1] as v from c join hm h using (image_id))
+ select image_id, kp_idx, k as at_kp from s qualify row_number() over (partition by image_id, kp_idx order by v desc, k) = 1""")
+def ref_component_joint(spark, sf_dir):
+    """The joint whose map is highest where a component lies."""
+    h = heatmaps(spark, sf_dir)
+    c = h.selectExpr("image_id", "kp_idx", "(vec_id * 37 % 90) / 10D - 0.5D as mx", "(vec_id * 53 % 80) / 10D as my")
+    return heatmap_ops.component_joint(c, h, ["image_id"]).select("image_id", "kp_idx", "at_kp")
+
+
+@query("""select event_id, (props->>'$.k')::bigint as k, 'stratified' as method, 0.3::double as temperature from events""")
+def ref_config_override(spark, sf_dir):
+    """Stored configurations with two dotted keys set."""
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("c", S.config_with("props", "sampling.method", '"stratified"')).withColumn("c", S.config_with("c", "sampling.temperature", "0.3"))
+    get = lambda path: F.get_json_object("c", "$." + path)
+    return e.select("event_id", get("k").cast("bigint").alias("k"), get("sampling.method").alias("method"), get("sampling.temperature").cast("double").alias("temperature"))
+
+
 _METHODS = {"base": ("bx", "by"), "ours": ("ox", "oy"), "tta": ("tx", "ty")}
 
 

@@ -38,13 +38,28 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 def tier_name(file: str = "input_file_name()") -> str:
     """Tier of a result file as SQL: its stem without `_results`; combined files are the tier General."""
     stem = f"regexp_extract({file}, '([^/]+)\\\\.parquet[^/]*(?:/[^/]*)?$', 1)"
-    return f"case when lower({stem}) rlike 'combined|general' then 'General' else regexp_replace({stem}, '_results$', '') end"
+    return f"case when {stem} rlike 'combined|General' then 'General' else regexp_replace({stem}, '_results$', '') end"
+
+
+def tier_folder(tier: str) -> str:
+    """Folder of a tier's reports as SQL: the tier's name, 06_General for General."""
+    return f"if({tier} = 'General', '06_General', {tier})"
+
+
+def tier_files(spark: SparkSession, root: str) -> list[str]:
+    """Result files of a directory: `*_results.parquet`, else all Parquet files but those of metadata, and the combined file if there is one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    every = sorted(f.getPath().toString() for f in fs.listStatus(hadoop) if f.getPath().getName().endswith(".parquet"))
+    name = lambda p: p.rsplit("/", 1)[-1]
+    tiers = [p for p in every if name(p).endswith("_results.parquet")] or [p for p in every if "metadata" not in name(p) and "combined" not in name(p)]
+    return [*tiers, *(p for p in every if name(p) == "all_degradations_combined.parquet")]
 
 
 def read_tiers(spark: SparkSession, root: str) -> DataFrame:
-    """All `*_results.parquet` below a directory with their tier as ``degradation_level``."""
-    d = spark.read.option("mergeSchema", True).option("pathGlobFilter", "*_results.parquet").option("recursiveFileLookup", True).parquet(root)
-    return undotted(d.withColumn("degradation_level", F.expr(tier_name("_metadata.file_path"))))
+    """The result files of a directory (``tier_files``) with their tier as ``degradation_level`` and its folder as ``folder``."""
+    d = spark.read.option("mergeSchema", True).parquet(*tier_files(spark, root))
+    return undotted(d.withColumn("degradation_level", F.expr(tier_name("_metadata.file_path")))).withColumn("folder", F.expr(tier_folder("degradation_level")))
 
 
 def stage_paths(root: str) -> dict[tuple[str, str, str], str]:

@@ -65,3 +65,28 @@ def test_packet_features(spark):
     c = spark.createDataFrame([(1, 0, 4, 0, 0.0, 0.0, 0.6), (1, 0, 4, 1, 9.0, 0.0, 0.4), (1, 1, 5, 0, 0.0, 0.0, 0.6), (1, 1, 5, 1, 1.0, 0.0, 0.4), (2, 0, 3, 0, 0.0, 0.0, 1.0)], "packet_id int, potential_idx int, kp_idx int, cand_idx int, mx double, my double, weight double")
     got = {r.packet_id: (r.n_bimodal, r.first_bimodal) for r in mining.packet_features(p, c).collect()}
     assert got == {1: (1, 4), 2: (0, None)}
+
+
+def test_configurations_with_a_key_set(spark):
+    from pyspark.sql import functions as F
+
+    from posegrain.functions import scalars as S
+
+    rows = ['{"a":{"b":1,"c":[1,2]},"d":"x"}', '{"a":5}', "no json", None]
+    d = spark.createDataFrame([(r,) for r in rows], "config string")
+    import json
+
+    got = [json.loads(r[0]) for r in d.select(S.config_with("config", "a.b", '{"k": "it\'s"}')).collect()]
+    assert got == [{"a": {"b": {"k": "it's"}, "c": [1, 2]}, "d": "x"}, {"a": {"b": {"k": "it's"}}}, {"a": {"b": {"k": "it's"}}}, {"a": {"b": {"k": "it's"}}}]
+    assert d.select(F.col("config")).count() == 4
+
+
+def test_phantoms_of_images_without_swaps(spark):
+    from posegrain.operators import mining
+    from posegrain.schema import joint_dim
+
+    j = spark.createDataFrame([(i, 7, 0, 0.9, 2.0) for i in (1, 2, 3)], "image_id int, kp_idx int, vis int, base_score double, cov_det double")
+    images = spark.createDataFrame([(1, 0, 0.5), (2, 1, 0.5), (3, 0, 0.1)], "image_id int, swaps_base int, oks_ours double")
+    assert [r.image_id for r in mining.phantom_joints(j, joint_dim(spark), ["image_id"], images=images).collect()] == [1]
+    d = spark.createDataFrame([(1, 3.0), (1, 5.0), (2, 1.0), (2, None)], "k int, v double")
+    assert sorted(tuple(r) for r in mining.best_of_each(d, ["k"], [d.v.desc_nulls_last()]).collect()) == [(1, 5.0), (2, 1.0)]

@@ -58,3 +58,15 @@ def test_streaming(spark, tmp_path):
     s = stages.windowed_summary(stages.parquet_stream(spark, src, d), "ts", "v", ["k"]).writeStream.outputMode("complete").format("memory").queryName("sums").trigger(availableNow=True).start()
     s.awaitTermination(60)
     assert sum(r.n for r in spark.table("sums").collect()) == 6
+
+
+def test_tier_files_and_folders(spark, tmp_path):
+    from posegrain.sources import results as R
+
+    d = spark.createDataFrame([(1, 0.5)], "image_id int, oks double")
+    for name in ("01_low_results", "all_degradations_combined", "metadata"):
+        d.coalesce(1).write.parquet(f"{tmp_path}/a/{name}.parquet")
+    for name in ("02_high", "run_metadata"):
+        d.coalesce(1).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    tiers = lambda root: sorted((r.degradation_level, r.folder) for r in R.read_tiers(spark, f"file://{tmp_path}/{root}").collect())
+    assert tiers("a") == [("01_low", "01_low"), ("General", "06_General")] and tiers("b") == [("02_high", "02_high")]
