@@ -56,12 +56,8 @@ def evaluate_images(measured: DataFrame, pair_dim: DataFrame, image: list[str],
         F.avg("nll").alias("nll"), F.avg("entropy").alias("entropy"), F.avg("volume").alias("covariance_volume"), F.avg(F.when(F.size("comps") > 0, F.size("comps"))).alias("n_components"),
     )
     a = a.select("*", *((F.col(f"oks_{m}") - F.col(f"oks_{base}")).alias(f"delta_{m}") for m in methods if m != base))
-    swaps: DataFrame | None = None
-    for m, (x, y) in methods.items():
-        for g in margins:
-            tag = f"{m}_{str(g).replace('.', '')}"
-            one = poses.limb_swaps(measured.withColumns({"px": F.col(x), "py": F.col(y)}), pair_dim, image, g).withColumnRenamed("swapped", tag)
-            swaps = one if swaps is None else swaps.join(one, [*image, "pair"])  # the same pairs for every method
+    two = poses.limb_pairs(measured, pair_dim, image, list(dict.fromkeys(c for xy in methods.values() for c in xy)))
+    swaps = two.select(*image, *(poses.swapped(x, y, g).alias(f"{m}_{str(g).replace('.', '')}") for m, (x, y) in methods.items() for g in margins))
     n = lambda cond, out: F.count(F.when(cond, 1)).alias(out)
     aggs = []
     for m in methods:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from posegrain.functions import scalars as S
 from posegrain.schema import KEYPOINTS
@@ -30,21 +30,30 @@ def image_oks(pairs: DataFrame, image: list[str]) -> DataFrame:
     return joint_oks(pairs).groupBy(*image).agg(F.coalesce(F.avg("oks"), F.lit(0.0)).alias("oks"), F.count(F.when(F.col("vis") > 0, 1)).alias("n_visible"))
 
 
-def limb_swaps(pairs: DataFrame, pair_dim: DataFrame, image: list[str], margin: float = 0.0, least: float = 0.3) -> DataFrame:
-    """(image..., pair, swapped): a side fits the other side's truth better than its own by more than ``margin``, and above ``least``.
+def limb_pairs(pairs: DataFrame, pair_dim: DataFrame, image: list[str], columns: list[str]) -> DataFrame:
+    """(image..., pair, left_kappa, right_kappa, area, l<c>, r<c>): both joints of each limb pair in one row.
 
-    Only pairs with both joints visible and a positive area; both joints of a pair are brought into one row by one
-    aggregate over (image, pair), not by a self-join.
+    Only pairs with both joints visible and a positive area; one aggregate over (image, pair), not a self-join.
     """
     d = F.broadcast(pair_dim)  # 8 rows
     sides = pairs.join(d, (F.col("kp_idx") == F.col("left_idx")) | (F.col("kp_idx") == F.col("right_idx")))
     left = F.col("kp_idx") == F.col("left_idx")
     get = lambda c, cond, out: F.max(F.when(cond, F.col(c))).alias(out)
-    two = sides.groupBy(*image, "pair", "left_kappa", "right_kappa").agg(F.max("area").alias("area"), *(get(c, left, f"l{c}") for c in ("px", "py", "gx", "gy", "vis")), *(get(c, ~left, f"r{c}") for c in ("px", "py", "gx", "gy", "vis")))
-    two = two.where("lvis > 0 and rvis > 0 and area > 0")
-    fit = lambda p, g: S.oks(F.pow(F.col(f"{p}px") - F.col(f"{g}gx"), 2) + F.pow(F.col(f"{p}py") - F.col(f"{g}gy"), 2), F.col("area"), F.col("left_kappa" if g == "l" else "right_kappa"))
+    every = [*columns, "gx", "gy", "vis"]
+    two = sides.groupBy(*image, "pair", "left_kappa", "right_kappa").agg(F.max("area").alias("area"), *(get(c, left, f"l{c}") for c in every), *(get(c, ~left, f"r{c}") for c in every))
+    return two.where("lvis > 0 and rvis > 0 and area > 0")
+
+
+def swapped(x: str, y: str, margin: float, least: float = 0.3) -> Column:
+    """Whether a side of a limb pair, as (x, y) predict it, fits the other side's truth better than its own by more than ``margin``, and above ``least``."""
+    fit = lambda p, g: S.oks(F.pow(F.col(f"{p}{x}") - F.col(f"{g}gx"), 2) + F.pow(F.col(f"{p}{y}") - F.col(f"{g}gy"), 2), F.col("area"), F.col("left_kappa" if g == "l" else "right_kappa"))
     cross = lambda p, g: (fit(p, g) > fit(p, p) + margin) & (fit(p, g) > least)
-    return two.select(*image, "pair", (cross("l", "r") | cross("r", "l")).alias("swapped"))
+    return cross("l", "r") | cross("r", "l")
+
+
+def limb_swaps(pairs: DataFrame, pair_dim: DataFrame, image: list[str], margin: float = 0.0, least: float = 0.3) -> DataFrame:
+    """(image..., pair, swapped) of the prediction px, py: see ``limb_pairs`` and ``swapped``."""
+    return limb_pairs(pairs, pair_dim, image, ["px", "py"]).select(*image, "pair", swapped("px", "py", margin, least).alias("swapped"))
 
 
 def swap_deltas(base: DataFrame, ours: DataFrame, image: list[str]) -> DataFrame:
