@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from posegrain.operators import grid
 from posegrain.operators.prefix import average_ranks, cumulate, quantiles, same
 from posegrain.session import materialize
 
@@ -205,22 +208,27 @@ def beta_grid(lo: float = -6.0, hi: float = 4.0, n: int = 300) -> list[float]:
     return [10.0 ** (lo + (hi - lo) * i / (n - 1)) for i in range(n)]
 
 
-def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 50, group_rows: int = 2_000_000, chunks: int = 16) -> DataFrame:
+def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 10, group_rows: int = 20_000) -> DataFrame:
     """(keys..., strategy, beta, tau, n_rows, ause) for every beta and strategy; ``best_beta`` picks the winners.
 
-    The grid multiplies the rows by some thousands, so it is taken to the rows: a group is sent once to each of ``chunks``
-    tasks, which go through their part of the betas in arrays.  Groups of more than ``group_rows`` rows (40 bytes each;
-    counted first) do not fit there: their rows stay spread, and the grid multiplies them in chunks of ``chunk`` betas.
-    Both ways give the same areas.  Rows with a null or NaN measure are left out.
+    The grid multiplies the rows by some thousands, so it is taken to the rows.  A group of up to ``group_rows`` rows goes
+    to one task.  The rows of larger groups are written once, each group in files of its own; a task reads them where they are
+    and takes ``chunk`` betas through them (``grid.areas``), so nothing is shuffled once a beta or a task.  Both ways give
+    the same areas.  Rows with a null or NaN measure are left out.
     """
-    v = df.where("vis > 0").select(*keys, F.expr("1D - oks_ours").alias("err"), F.col("cov_det").alias("det"), F.coalesce(F.col("n_components"), F.lit(-1)).cast("double").alias("k"), F.expr("1D - base_score").alias("ub"))
+    spark = df.sparkSession
+    v = df.where("vis > 0").select(*keys, F.expr("1D - oks_ours").alias("err"), F.col("cov_det").alias("det"), (F.coalesce(F.col("n_components"), F.lit(-1)) == 2).alias("two"), F.expr("1D - base_score").alias("ub"))
     v = materialize(v.where(" and ".join(f"{c} is not null and not isnan({c})" for c in ("err", "det", "ub"))), "beta-rows")
-    big = materialize(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > group_rows), "big-groups")
-    if not big.limit(1).count():
-        return _grid_in_arrays(v, keys, betas, taus, chunks)
-    of = same(keys, "v", "b")
-    rest, spread = v.alias("v").join(big.alias("b"), of, "left_anti"), v.alias("v").join(big.alias("b"), of, "left_semi")
-    return _grid_in_arrays(rest, keys, betas, taus, chunks).unionByName(_grid_distributed(spread, keys, betas, taus, chunk))
+    big = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_rows).collect()  # one row for some thousands at most
+    if not big:
+        return _grid_in_arrays(v, keys, betas, taus)
+    kinds = dict(v.dtypes)
+    groups = F.broadcast(spark.createDataFrame([(i, *r[:-1]) for i, r in enumerate(big)], ", ".join(["_g int", *(f"`{k}` {kinds[k]}" for k in keys)])))
+    rest = v.alias("v").join(groups.alias("b"), same(keys, "v", "b"), "left_anti")
+    large = v.alias("v").join(groups.alias("b"), same(keys, "v", "b")).select("_g", "err", "det", "two", "ub")
+    areas = _grid_in_files(large, [r.n for r in big], betas, taus, chunk)
+    areas = areas.join(groups, "_g").select(*keys, "strategy", "beta", "tau", "n_rows", "ause")
+    return _grid_in_arrays(rest, keys, betas, taus).unionByName(areas)
 
 
 def retained_error(err: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -246,38 +254,46 @@ def ause_array(err: np.ndarray, unc: np.ndarray, oracle: np.ndarray | None = Non
     return float((gap[1:] + gap[:-1]).sum() / 2 / (len(gap) - 1))
 
 
-def _grid_in_arrays(v: DataFrame, keys: list[str], betas: list[float], taus: list[float], chunks: int) -> DataFrame:
-    chunks = max(1, min(chunks, len(betas)))
+def _grid_in_arrays(v: DataFrame, keys: list[str], betas: list[float], taus: list[float]) -> DataFrame:
     names = [*keys, "strategy", "beta", "tau", "n_rows", "ause"]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        err, det, k, ub = pdf[["err", "det", "k", "ub"]].to_numpy().T.copy()
+        err, det, ub = pdf[["err", "det", "ub"]].to_numpy().T.copy()
+        two = pdf["two"].to_numpy(bool)
         oracle = retained_error(err, err)
         eb = np.exp(ub)
         out = []
-        for beta in betas[key[-1] :: chunks]:
+        for beta in betas:
             ug = 1.0 - np.exp(-beta * det)
             eg = np.exp(ug)
-            tries = [("max_pooling", None, np.maximum(ub, ug)), ("gating_k", None, np.where(k == 2, ug, ub)), ("softmax", None, (eb * ub + eg * ug) / (eb + eg))]
-            tries += [("gating_tau", t, np.where((k == 2) | (ug > t), ug, ub)) for t in taus]
-            out += [(*key[:-1], s, beta, t, len(err), ause_array(err, u, oracle)) for s, t, u in tries]
+            tries = [("max_pooling", None, np.maximum(ub, ug)), ("gating_k", None, np.where(two, ug, ub)), ("softmax", None, (eb * ub + eg * ug) / (eb + eg))]
+            tries += [("gating_tau", t, np.where(two | (ug > t), ug, ub)) for t in taus]
+            out += [(*key, s, beta, t, len(err), ause_array(err, u, oracle)) for s, t, u in tries]
         return pd.DataFrame(out, columns=names)
 
     kinds = dict(v.dtypes)
-    sent = v.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    sent = sent.repartition(4 * v.sparkSession.sparkContext.defaultParallelism, *keys, "_chunk")  # a fixed number: the work is not in the bytes
-    return sent.groupBy(*keys, "_chunk").applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", strategy string, beta double, tau double, n_rows bigint, ause double")
-
-
-def _grid_distributed(v: DataFrame, keys: list[str], betas: list[float], taus: list[float], chunk: int) -> DataFrame:
-    parts = []
-    row = lambda name, tau, unc: f"named_struct('strategy', '{name}', 'tau', cast({tau} as double), 'unc', {unc})"
-    tries = [row("max_pooling", "null", "greatest(ub, ug)"), row("gating_k", "null", "if(k = 2, ug, ub)"), row("softmax", "null", "(exp(ub) * ub + exp(ug) * ug) / (exp(ub) + exp(ug))")]
-    tries += [row("gating_tau", f"{float(t)!r}D", f"if(k = 2 or ug > {float(t)!r}D, ug, ub)") for t in taus]
-    for lo in range(0, len(betas), chunk):
-        d = v.select("*", F.explode(F.array(*(F.lit(float(b)) for b in betas[lo : lo + chunk]))).alias("beta")).withColumn("ug", F.expr("1D - exp(-beta * det)"))
-        parts.append(ause(d.select(*keys, "err", "beta", F.expr(f"inline(array({', '.join(tries)}))")), [*keys, "strategy", "beta", "tau"], last_point="clip"))
-    return reduce(DataFrame.unionByName, parts)
+    return v.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", strategy string, beta double, tau double, n_rows bigint, ause double")
+
+
+def _grid_in_files(rows: DataFrame, sizes: list[int], betas: list[float], taus: list[float], chunk: int) -> DataFrame:
+    """(_g, strategy, beta, tau, n_rows, ause) of groups 0 to len(sizes) - 1: a task for each group and ``chunk`` betas."""
+    # ordered by ub too, so that a block meets few of its bins
+    parts = materialize(rows.repartitionByRange("_g", "ub", "det").sortWithinPartitions("_g", "ub"), "beta-groups", ["_g"])
+    files: dict[int, list[str]] = {}
+    for f in sorted(parts.inputFiles()):
+        files.setdefault(int(re.search(r"/_g=(\d+)/", f)[1]), []).append(f)
+    jobs = [(g, sizes[g], betas[lo : lo + chunk], files[g]) for g in files for lo in range(0, len(betas), chunk)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for b in batches for r in b.itertuples(index=False)):
+            blocks = partial(grid.read_blocks, list(r.files))
+            if r.n <= grid.HELD:
+                blocks = list(blocks()).__iter__
+            out = grid.areas(blocks, r.n, list(r.betas), taus)
+            yield pd.DataFrame([(r.g, *x[:3], r.n, x[3]) for x in out], columns=["_g", "strategy", "beta", "tau", "n_rows", "ause"])
+
+    todo = rows.sparkSession.createDataFrame(jobs, "g int, n bigint, betas array<double>, files array<string>").repartition(len(jobs))
+    return todo.mapInPandas(run, "_g int, strategy string, beta double, tau double, n_rows bigint, ause double")
 
 
 def best_beta(history: DataFrame, keys: list[str]) -> DataFrame:

@@ -252,7 +252,7 @@ def ref_beta_search(spark, sf_dir):
     d = unrolled(spark, sf_dir)
     scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("vis") == 2, "visible"), F.when(F.col("vis") == 1, "occluded")))
     d = d.select("*", F.explode(scopes).alias("scope"))
-    best = C.best_beta(C.beta_search(d, ["scope"], C.beta_grid(), _TAUS, chunk=100), ["scope"])
+    best = C.best_beta(C.beta_search(d, ["scope"], C.beta_grid(), _TAUS), ["scope"])
     base = C.ause(d.where("vis > 0 and oks_base is not null").selectExpr("scope", "1D - oks_base as err", "1D - base_score as unc"), ["scope"], last_point="clip").select("scope", F.col("ause").alias("ause_base"))
     return rounded(best.join(base, "scope").withColumn("improvement", F.expr("(ause_base - ause) / ause_base")))
 
