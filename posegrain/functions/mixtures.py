@@ -128,3 +128,19 @@ def ellipse(points: int = 64, k: float = 2.0) -> str:
     t = f"(i * {TWO_PI}D / {points})"
     a, b = f"{k}D * sqrt(greatest({hi}, 0D)) * cos{t}", f"{k}D * sqrt(greatest({lo}, 0D)) * sin{t}"
     return f"transform(sequence(0, {points - 1}), i -> named_struct('x', mx + {a} * cos({angle}) - {b} * sin({angle}), 'y', my + {a} * sin({angle}) + {b} * cos({angle})))"
+
+
+def ellipse_axes(k: float = 2.0) -> dict[str, str]:
+    """Half axes of the k-sigma ellipse, cosine and sine of its angle: what all vertices of a component share."""
+    angle = "atan2(2D * cxy, cxx - cyy) / 2D"
+    return {"a": f"{k}D * sqrt(greatest({eigenvalue('+')}, 0D))", "b": f"{k}D * sqrt(greatest({eigenvalue('-')}, 0D))", "turn_cos": f"cos({angle})", "turn_sin": f"sin({angle})"}
+
+
+def unit_circle(points: int = 64) -> str:
+    """Structs (vertex, c, s); without a lambda, so that the optimizer folds the array."""
+    return "array(" + ", ".join(f"named_struct('vertex', {i}, 'c', cos({i} * {TWO_PI}D / {points}), 's', sin({i} * {TWO_PI}D / {points}))" for i in range(points)) + ")"
+
+
+def on_ellipse() -> dict[str, str]:
+    """A vertex of ``unit_circle`` on the ellipse of ``ellipse_axes``; operations in the order of ``ellipse``, so to the same bit."""
+    return {"x": "mx + a * c * turn_cos - b * s * turn_sin", "y": "my + a * c * turn_sin + b * s * turn_cos"}
