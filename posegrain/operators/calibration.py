@@ -208,7 +208,7 @@ def beta_grid(lo: float = -6.0, hi: float = 4.0, n: int = 300) -> list[float]:
     return [10.0 ** (lo + (hi - lo) * i / (n - 1)) for i in range(n)]
 
 
-def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 10, group_rows: int = 20_000) -> DataFrame:
+def beta_search(df: DataFrame, keys: list[str], betas: list[float], taus: list[float] = (0.01, 0.05, 0.1, 0.2, 0.5), chunk: int = 25, group_rows: int = 20_000) -> DataFrame:
     """(keys..., strategy, beta, tau, n_rows, ause) for every beta and strategy; ``best_beta`` picks the winners.
 
     The grid multiplies the rows by some thousands, so it is taken to the rows.  A group of up to ``group_rows`` rows goes

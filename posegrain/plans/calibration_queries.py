@@ -9,6 +9,7 @@ from posegrain.operators import calibration as C
 from posegrain.operators import cohorts, mining
 from posegrain.operators.prefix import quantiles
 from posegrain.schema import MEASURES, TIERS, keypoints, packets, tier_dim, unrolled
+from posegrain.session import materialize
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -249,7 +250,8 @@ def ref_beta_history(spark, sf_dir):
 @query()
 def ref_beta_search(spark, sf_dir):
     """The best beta of each strategy on the whole grid of 300, over all, visible and occluded joints, with the gain over the baseline."""
-    d = unrolled(spark, sf_dir)
+    d = unrolled(spark, sf_dir).where("vis > 0").select("vis", "oks_ours", "oks_base", "cov_det", "base_score", "n_components")
+    d = materialize(d, "present-joints")  # read twice
     scopes = F.array_compact(F.array(F.lit("all"), F.when(F.col("vis") == 2, "visible"), F.when(F.col("vis") == 1, "occluded")))
     d = d.select("*", F.explode(scopes).alias("scope"))
     best = C.best_beta(C.beta_search(d, ["scope"], C.beta_grid(), _TAUS), ["scope"])
