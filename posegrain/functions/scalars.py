@@ -170,3 +170,9 @@ def to_image(c: Column, px: Column, center: Column, scale: Column) -> Column:
 
 def to_heatmap(c: Column, px: Column, center: Column, scale: Column) -> Column:
     return (c - center + 0.5 * scale) / px
+
+
+def rounded(x: str, digits: int = 6) -> str:
+    """round(x, digits) + 0.0 to the same bit; decimals, which are slow, only near a tie and beyond a million."""
+    s = f"({x} * 1e{digits}D)"
+    return f"(if(abs({x}) < 1e6D and abs({s} - rint({s})) < 0.499D, rint({s}) / 1e{digits}D, round({x}, {digits})) + 0D)"

@@ -33,18 +33,29 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
+ENDS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None, end_shuffles: bool = False) -> DataFrame:
     """Write ``df`` below the shared folder and read it back: the lineage ends there and an executor loss costs nothing.
 
     Unlike a cache, the written table survives executors; unlike checkpoint(), it is columnar, so later
-    readers prune columns and push filters.
+    readers prune columns and push filters.  ``end_shuffles``: the shuffle files of this write go with it instead of
+    staying until the driver collects garbage.
     """
     spark = df.sparkSession
     path = shared_path(spark, label)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    if end_shuffles:
+        before = spark.conf.get(ENDS_SHUFFLES)
+        spark.conf.set(ENDS_SHUFFLES, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if end_shuffles:
+            spark.conf.set(ENDS_SHUFFLES, before)
     return spark.read.schema(spark.read.parquet(path).schema if partition_by else df.schema).parquet(path)
 
 
